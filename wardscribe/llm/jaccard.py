@@ -139,7 +139,7 @@ _SIDE = "chunk long, rep long, f1 long, f2 long, bucket int, m1 binary"
 
 
 def _survivors(docs: DataFrame, reps: DataFrame, n_chunks: int, size: int, percent: int) -> DataFrame:
-    """Sets that may link with an unequal one: doc, n, tokens (48 bits each, by rising hash), bands."""
+    """Sets that may link with an unequal one: doc, n, tokens (48 bits each), bands, share (of its prefix that others have)."""
     n_buckets = max(partitions(docs.sparkSession), n_chunks // 8, 1)
     d = docs.where("doc_id is not null").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("bucket", "int"), ("m1", "binary"))]
@@ -156,23 +156,25 @@ def _survivors(docs: DataFrame, reps: DataFrame, n_chunks: int, size: int, perce
         return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def keep(table: pa.Table, side: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         if table.num_rows and side.num_rows:
             s, mine, ids = _sets_of(table, side.filter(side["rep"].is_valid()), size, percent)
             p = _chunk_prefixes(s, mine, percent, n_buckets)
             marks = side.filter(side["bucket"].is_valid())
             hit = p.shared(dict(zip(marks["bucket"].to_pylist(), marks["m1"].to_pylist())))
             count = np.bincount(p.owner[hit], minlength=len(mine))
+            share = dict(zip(mine, count / np.maximum(1, _prefix(s.n[mine], percent))))
             for i in mine[count >= _enough(s.n[mine], percent)]:
                 out[0].append(int(ids[i]))
                 out[1].append(int(s.n[i]))
                 out[2].append(pack48(s.tokens[s.at[i] : s.at[i + 1]]))
                 out[3].append(s.bands(i))
-        return pa.table({"doc": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "tokens": pa.array(out[2], pa.binary()), "bands": pa.array(out[3], pa.list_(pa.int64()))})
+                out[4].append(float(share[i]))
+        return pa.table({"doc": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "tokens": pa.array(out[2], pa.binary()), "bands": pa.array(out[3], pa.list_(pa.int64())), "share": pa.array(out[4], pa.float64())})
 
     m1 = d.groupBy("chunk").cogroup(r.groupBy("chunk")).applyInArrow(send, "bucket int, chunk long, blob binary").groupBy("bucket").applyInArrow(repeated, "bucket int, chunk long, m1 binary")
     side = r.unionByName(m1, allowMissingColumns=True).selectExpr(*[x.split()[0] for x in _SIDE.split(", ")])
-    return cut(d.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(keep, "doc long, n long, tokens binary, bands array<long>"))
+    return cut(d.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(keep, "doc long, n long, tokens binary, bands array<long>, share double"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,10 +192,53 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.select("a", "b", "an", "bn", "at", "bt").mapInArrow(check, "a long, b long")
 
 
+def _rare_first(sets: DataFrame, n_chunks: int, percent: int) -> DataFrame:
+    """(doc, n, prefix): each set's prefix when tokens are ordered by the power of two of the number of sets that have them, then by hash."""
+    n_buckets = max(partitions(sets.sparkSession), n_chunks // 8, 1)
+    c = sets.select("doc", "n", "tokens", F.pmod(F.xxhash64("doc"), F.lit(n_chunks)).alias("chunk"))
+
+    def read(table: pa.Table):
+        each = [mix(unpack48(b)) for b in table["tokens"].to_pylist()]
+        uniq, which, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        order, bounds = by_bucket(uniq, n_buckets)
+        return each, uniq, which, times, order, bounds
+
+    def send(table: pa.Table) -> pa.Table:
+        _, uniq, _, times, order, bounds = read(table)
+        rows = [k for k in range(n_buckets) if bounds[k] < bounds[k + 1]]
+        at = [order[bounds[k] : bounds[k + 1]] for k in rows]
+        return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * len(rows), pa.int64()), "blob": pa.array([pack48(uniq[i]) for i in at], pa.binary()), "times": pa.array([times[i].astype("<u2").tobytes() for i in at], pa.binary())})
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = [unpack48(b) for b in table["blob"].to_pylist()]
+        found, which = np.unique(np.concatenate(parts), return_inverse=True)
+        every = np.bincount(which, np.concatenate([np.frombuffer(b, "<u2") for b in table["times"].to_pylist()]), minlength=len(found))
+        power, ends = np.floor(np.log2(every)).astype(np.uint8)[which], np.cumsum([len(x) for x in parts])
+        return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "power": pa.array([power[e - len(x) : e].tobytes() for e, x in zip(ends, parts)], pa.binary())})
+
+    def order_(table: pa.Table, side: pa.Table) -> pa.Table:
+        out: list = []
+        if table.num_rows:
+            each, uniq, which, _, order, bounds = read(table)
+            power = np.zeros(len(uniq), np.uint8)
+            for k, blob in zip(side["bucket"].to_pylist(), side["power"].to_pylist()):
+                power[order[bounds[k] : bounds[k + 1]]] = np.frombuffer(blob, np.uint8)
+            ends = np.cumsum([len(e) for e in each])
+            for x, e in zip(each, ends):
+                mine = power[which[e - len(x) : e]]
+                first = np.lexsort((x, mine))[: int(_prefix(np.int64(len(x)), percent))]
+                out.append(pack48(x[first]))
+        none = table.num_rows == 0
+        return pa.table({"doc": pa.array([], pa.int64()) if none else table["doc"], "n": pa.array([], pa.int64()) if none else table["n"], "prefix": pa.array(out, pa.binary())})
+
+    m = c.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, blob binary, times binary").groupBy("bucket").applyInArrow(count, "bucket int, chunk long, power binary")
+    return c.groupBy("chunk").cogroup(m.groupBy("chunk")).applyInArrow(order_, "doc long, n long, prefix binary")
+
+
 def _other_groups(sets: DataFrame, groups: DataFrame, n_chunks: int, percent: int) -> DataFrame:
-    """Prefix tokens (doc, grp, n, token) of the sets that may link with a set of another group."""
+    """Prefix tokens (doc, grp, n, pos, token) of the sets that may link with a set of another group."""
     n_buckets = max(partitions(sets.sparkSession), n_chunks // 8, 1)
-    p = sets.join(groups, sets.doc == groups.node, "left").select("doc", "n", F.coalesce("component", "doc").alias("grp"), F.expr(f"substring(tokens, 1, 6 * least(n, n - (n * {percent} + 99) div 100 + greatest(1, n div 10)))").alias("prefix"))
+    p = _rare_first(sets, n_chunks, percent).join(groups, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("component", "doc").alias("grp"), "prefix")
     p = cut(p.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.lit(n_chunks))))
 
     def read(table: pa.Table) -> tuple[_Prefixes, list[np.ndarray]]:
@@ -217,7 +262,7 @@ def _other_groups(sets: DataFrame, groups: DataFrame, n_chunks: int, percent: in
         return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "m1": pa.array([bits(hit[e - len(x) : e]) for e, x in zip(ends, parts)], pa.binary())})
 
     def keep(table: pa.Table, side: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         if table.num_rows and side.num_rows:
             x, each = read(table)
             hit = x.shared(dict(zip(side["bucket"].to_pylist(), side["m1"].to_pylist())))
@@ -226,13 +271,13 @@ def _other_groups(sets: DataFrame, groups: DataFrame, n_chunks: int, percent: in
                 mine = hit[e - len(each[i]) : e]
                 if mine.sum() >= _enough(n[i], percent):
                     first = int(n[i] - _needs(n[i], percent) + 1)
-                    for t in each[i][:first][mine[:first]]:
-                        for o, v in zip(out, (doc, grp, int(n[i]), int(t.view(np.int64)))):
+                    for at in np.flatnonzero(mine[:first]):
+                        for o, v in zip(out, (doc, grp, int(n[i]), int(at), int(each[i][at].view(np.int64)))):
                             o.append(v)
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc", "grp", "n", "token"), out)})
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc", "grp", "n", "pos", "token"), out)})
 
     m = p.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, blob binary, low binary, high binary").groupBy("bucket").applyInArrow(several, "bucket int, chunk long, m1 binary")
-    return cut(p.groupBy("chunk").cogroup(m.groupBy("chunk")).applyInArrow(keep, "doc long, grp long, n long, token long"))
+    return cut(p.groupBy("chunk").cogroup(m.groupBy("chunk")).applyInArrow(keep, "doc long, grp long, n long, pos long, token long"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
@@ -260,14 +305,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, chunk
     reps = cut(slim.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     sets = _survivors(d, reps.where(~_only_equal(F.col("n"), percent)), n_chunks, words, percent)
 
-    each = sets.select("doc", F.posexplode("bands").alias("band", "key"))
-    lead = each.groupBy("band", "key").agg(F.min("doc").alias("lead"))
-    near = each.join(lead, ["band", "key"]).groupBy("doc").agg(F.min("lead").alias("lead")).where("lead < doc")
+    best = F.struct((-F.col("share")).alias("s"), F.col("doc").alias("doc"))
+    each = sets.select("doc", best.alias("own"), F.posexplode("bands").alias("band", "key"))
+    lead = each.groupBy("band", "key").agg(F.min("own").alias("lead"))
+    near = each.join(lead, ["band", "key"]).groupBy("doc").agg(F.min("lead").alias("lead")).select("doc", F.col("lead.doc").alias("lead")).where("lead != doc")
     links = cut(_links(near.select(F.col("lead").alias("a"), F.col("doc").alias("b")), sets, percent))
 
     t = _other_groups(sets, components(links, "a", "b"), n_chunks, percent)
-    x, y = t.toDF("a", "ag", "an", "token"), t.toDF("b", "bg", "bn", "token")
-    fits = f"ag < bg and 100 * least(an, bn) >= {percent} * greatest(an, bn)"
+    x, y = t.toDF("a", "ag", "an", "i", "token"), t.toDF("b", "bg", "bn", "j", "token")
+    fits = f"ag < bg and 100 * least(an, bn) >= {percent} * greatest(an, bn) and {100 + percent} * least(an - i, bn - j) >= {percent} * (an + bn)"
     links = links.union(_links(x.join(y, "token").where(fits).select("a", "b").distinct(), sets, percent))
 
     found = components(links, "a", "b")
