@@ -58,7 +58,7 @@ class Words:
         self.starts = np.flatnonzero(begin)
         self.ends = np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.starts, self.offs)
-        self.hashes = _word_hashes(pad, self.starts, self.ends)
+        self.hashes = word_hashes(pad, self.starts, self.ends)
         self.doc = np.repeat(np.arange(len(self.offs) - 1), np.diff(self.first))
 
     def windows(self, size: int) -> np.ndarray:
@@ -76,7 +76,7 @@ class Words:
             return mix(out)
 
 
-def _word_hashes(pad: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(pad: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lanes = np.ndarray((max(len(pad) - 7, 0),), "<u8", pad, 0, (1,))
     length = ends - starts
     with np.errstate(over="ignore"):
