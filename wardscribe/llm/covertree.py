@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .shards import finite, fit, search
 
-SHARD, LEAF, FAN, OPEN = 8192, 64, 32, 8
+SHARD, LEAF, GROUP, FAN, OPEN = 8192, 256, 128, 32, 4
 
 
 class CoverTree:
@@ -68,9 +68,17 @@ class _Best:
         return float(self.score[:, -1].min())
 
     def add(self, score: np.ndarray, ids: np.ndarray) -> None:
-        use = (score >= self.score[:, -1:]).any(0)
-        s = np.concatenate((self.score, score[:, use]), 1)
-        i = np.concatenate((self.id, np.broadcast_to(ids[use], (len(s), int(use.sum())))), 1)
+        """Takes in new columns with rising ids: the best k of a row by score, then place, are merged with what it has."""
+        use = np.flatnonzero((score >= self.score[:, -1:]).any(0))
+        score, ids = score[:, use], ids[use]
+        if len(use) > self.k:
+            place = np.arange(len(use))
+            key = np.where(score > -np.inf, score, -(2.0**52)).astype(np.int64) * 1024 - place
+            top = np.sort(np.argpartition(-key, self.k - 1, axis=1)[:, : self.k], axis=1)
+            score, new = np.take_along_axis(score, top, 1), ids[top]
+        else:
+            new = np.broadcast_to(ids, score.shape)
+        s, i = np.concatenate((self.score, score), 1), np.concatenate((self.id, new), 1)
         order = np.lexsort((i, -s), axis=-1)[:, : self.k]
         self.score, self.id = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
@@ -93,10 +101,12 @@ def dual_tree(queries: CoverTree, qids: np.ndarray, tree: CoverTree, ids: np.nda
             now, front, bounds = front[order[:OPEN]], front[order[OPEN:]], bounds[order[OPEN:]]
             leaves = now[tree.is_leaf[now]]
             if len(leaves):
-                pts = np.concatenate([tree.points[r] for r in leaves])
-                score = q @ tree.x[pts].T
-                score[qids[rows][:, None] == ids[pts][None, :]] = -np.inf
-                best.add(score, ids[pts])
+                every = np.concatenate([tree.points[r] for r in leaves])
+                every = every[np.argsort(ids[every], kind="stable")]
+                for pts in (every[lo : lo + 1024] for lo in range(0, len(every), 1024)):
+                    score = q @ tree.x[pts].T
+                    score[qids[rows][:, None] == ids[pts][None, :]] = -np.inf
+                    best.add(score, ids[pts])
             inner = now[~tree.is_leaf[now]]
             if len(inner):
                 kids = np.concatenate([tree.kids[r] for r in inner])
@@ -117,7 +127,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, shard: int
 
     Rows whose vec_id or embedding is null, or whose embedding holds null or
     non-finite components, take no part; shorter vectors count as filled with
-    zeros. Scores are exact below 2**53. Repeated rows are candidates each. An
+    zeros. Scores are exact below 2**52. Repeated rows are candidates each. An
     empty table gives an empty one.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & finite(F.col("vec")))
@@ -138,7 +148,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, shard: int
     def ask(state, m):
         ids, tree = state
         qids, _, x = m
-        a, b, s = dual_tree(CoverTree(fit(x, tree.x.shape[1]), 32), qids, tree, ids, k)
+        a, b, s = dual_tree(CoverTree(fit(x, tree.x.shape[1]), GROUP), qids, tree, ids, k)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s.astype(np.int64), pa.int64())})
 
     found = search(rows, index, ask, "query_id long, vec_id long, score long")
