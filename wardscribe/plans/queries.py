@@ -511,10 +511,10 @@ def voice_activity(spark, d):
     return audio.voice_ratio(table(spark, d, "embeddings").select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("samples")), 8, 0.13)
 
 
-@query("select case when o_totalprice > 104857600 then 413 when o_totalprice = 0 then 422 when o_custkey * 3.0 > 1800 then 413 when o_custkey * 3.0 < 0.6 then 422 end as error_code, count(*) as n from orders group by 1")
+@query("select case when o_totalprice > 104857600 then 413 when o_totalprice = 0 then 422 when o_custkey * 3.0 > 1800 then 413 when o_custkey * 3.0 < 0.6 then 422 else 0 end as error_code, count(*) as n from orders group by 1")
 def audio_checks(spark, d):
     o = table(spark, d, "orders")
-    return o.groupBy(audio.error_code(F.col("o_totalprice"), F.col("o_custkey") * 3.0).alias("error_code")).agg(F.count("*").alias("n"))
+    return o.groupBy(F.coalesce(audio.error_code(F.col("o_totalprice"), F.col("o_custkey") * 3.0), F.lit(0)).alias("error_code")).agg(F.count("*").alias("n"))
 
 
 # ---- monitoring (batch form of the streaming operators)

@@ -17,7 +17,7 @@ RATE = 16000
 
 
 def recordings(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, rate, channels, duration, samples, error_code) of WAV files: mono floats at 16 kHz by nearest index; bad files keep a code instead of raising."""
+    """(path, size, rate, channels, duration, samples, error_code) of WAV files: mono floats at 16 kHz by nearest index; bad files keep a code instead of raising. Spark lists no empty files."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
