@@ -40,8 +40,9 @@ def sentences(notes: DataFrame, source: str = "audio", numbers: bool = True) ->
 def drug_mentions(sents: DataFrame) -> DataFrame:
     """(job_id, sent, clause, ord, said, dose, unit, frequency, duration, raw, negated) before name resolution."""
     c = sents.select("job_id", "sent", "raw", "negated", F.posexplode(F.split("text", P.CLAUSE)).alias("clause", "c"))
-    groups = F.arrays_zip(*[F.regexp_extract_all("c", F.lit(P.DRUG), F.lit(i)).alias(f"g{i}") for i in range(1, 7)])
-    m = c.select("job_id", "sent", "clause", "raw", "negated", F.posexplode(groups).alias("ord", "g"))
+    # the pattern searches a clause once; its groups are read from the short match
+    m = c.where(F.col("c").rlike("[0-9]")).select("job_id", "sent", "clause", "raw", "negated", F.posexplode(F.regexp_extract_all("c", F.lit(P.DRUG), F.lit(0))).alias("ord", "m"))
+    m = m.select("job_id", "sent", "clause", "raw", "negated", "ord", F.struct(*[F.regexp_extract("m", P.DRUG, i).alias(f"g{i}") for i in range(1, 7)]).alias("g"))
     units = F.create_map(*[F.lit(x) for kv in L.UNITS.items() for x in kv])
     unit = F.nullif(F.trim("g.g3"), F.lit(""))
     dur = F.when(F.col("g.g5") != "", F.concat_ws(" ", "g.g5", "g.g6")).otherwise("")
