@@ -8,6 +8,7 @@ from collections import defaultdict
 from datetime import date
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from wardscribe.llm.hnsw import near_duplicates  # noqa: E402
 from wardscribe.llm.jaccard import jaccard_components  # noqa: E402
 from wardscribe.llm.mixing import mix  # noqa: E402
 from wardscribe.llm.packing import Bins, pack  # noqa: E402
+from wardscribe.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
 from wardscribe.llm.stages import cut_repeats, drop_near_copies, mix_sources  # noqa: E402
 from wardscribe.llm.substrings import dedup_substrings  # noqa: E402
 from wardscribe.llm.toxicity import restore, score, toxicity, train, trigrams  # noqa: E402
@@ -329,3 +331,14 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     total = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count("*")).first()
     assert total[0] <= 2048 and total[1] > 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_equals_sql(spark, sf, name):
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        duck.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    a, b = QUERIES[name](spark, sf).toPandas(), duck.execute(ORACLE_SQL[name]).df()
+    rows = lambda df: sorted(tuple(f"{v:.9f}" if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
+    assert sorted(a.columns) == sorted(b.columns)
+    assert rows(a) == rows(b)

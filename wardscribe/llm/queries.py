@@ -123,6 +123,45 @@ select w.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
 from w left join r using (doc_id)
 """
 
+OP5_SQL = """
+with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0 and label is not null),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id != b.vec_id and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.98),
+reach as (with recursive r(node, root) as (select vec_id, vec_id from embeddings union select l.b, r.root from r join l on l.a = r.node) select node, min(root) as root from r group by node),
+n as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, root as component_id, vec_id = root as kept from embeddings join reach on node = vec_id left join n on a = vec_id
+"""
+
+
+def _op6_sql() -> str:
+    """Containment from the places where a template's shingles begin: a window holds those that begin in its first words."""
+    from .licenses import CONTAINED, SHINGLE, TEMPLATES, shingles, words_of
+
+    spec = {name: words_of(t) for name, t in TEMPLATES.items()}
+    rows = ", ".join(f"('{name}', {len(w)}, {min(SHINGLE, len(w))}, {len(shingles(w))}, '{s}')" for name, w in spec.items() for s in shingles(w))
+    return rf"""
+with known(license, length, size, every, s) as (values {rows}),
+w as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x != '') as w from documents where text is not null),
+sizes as (select distinct size from known),
+g as (select doc_id, len(w) as n, size, unnest(range(1, len(w) - size + 2)) as i, w from w, sizes where len(w) >= size),
+p as (select doc_id, n, license, length, size, every, s, i - 1 as spot from g join known using (size) where s = array_to_string(w[i:i + size - 1], ' ')),
+q as (select doc_id, license, every, s, unnest(range(greatest(spot - length + size, 0), least(spot, greatest(n - length, 0)) + 1)) as spot from p),
+c as (select doc_id, license, spot, count(distinct s) / any_value(every) as contained from q group by doc_id, license, spot)
+select doc_id, license, max(contained)::double as contained, min(spot)::bigint as first_word, count(*) as n_windows from c where contained >= {CONTAINED} - 1e-9 group by doc_id, license
+"""
+
+
+OP10_SQL = r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, unnest(list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from w),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from g a join g b on a.s = b.s and a.doc_id != b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+reach as (with recursive r(node, root) as (select doc_id, doc_id from documents union select l.b, r.root from r join l on l.a = r.node) select node, min(root) as root from r group by node)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, root as component_id from documents d join reach on node = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -131,4 +170,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_exact_top_k, op3_toxicity, op4_html_text, op5_embedding_dedup, op6_license_scan, op7_substring_dedup, op8_best_fit_packing, op9_url_filter, op10_jaccard_join, pipeline)}
-ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op7_substring_dedup": OP7_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_license_scan": _op6_sql(), "op7_substring_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_jaccard_join": OP10_SQL}
