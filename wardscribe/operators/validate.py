@@ -74,3 +74,34 @@ def illegal_moves(log: DataFrame) -> DataFrame:
 def route(air_gapped: Column, lang: Column, agreement: Column) -> Column:
     """The tier that transcribes a job: local when air-gapped, a language model for mixed speech, the cloud only under an agreement."""
     return F.when(air_gapped, "local").when(lang != "en", "multilingual").when(agreement, "cloud").otherwise("local")
+
+
+def review_refusals(reviews: DataFrame, drugs: DataFrame, dim: DataFrame, least_s: float = 5.0) -> DataFrame:
+    """(job_id, code) of reviews(job_id, seconds, reviewer, reviewer_2, bulk_red) that may not verify.
+
+    Too fast a review, all RED fields accepted at once, and drugs of high risk
+    or dosed in mcg without a second reviewer, who must be another person.
+    """
+    risky = drugs.join(F.broadcast(dim.select("name", "high_risk")), "name", "left").where(F.coalesce("high_risk", F.lit(False)) | (F.col("unit") == "mcg")).select("job_id").distinct()
+    x = reviews.join(risky.withColumn("risky", F.lit(True)), "job_id", "left")
+    alone = F.col("reviewer_2").isNull() | F.col("reviewer_2").eqNullSafe(F.col("reviewer"))
+    codes = [F.when(F.col("seconds") < least_s, "REVIEW_TOO_FAST"), F.when(F.col("bulk_red"), "BULK_ACCEPT_RED"), F.when(F.col("risky") & alone, "SECOND_REVIEWER_REQUIRED")]
+    return x.select("job_id", F.explode(F.array_compact(F.array(*codes))).alias("code"))
+
+
+def duration_kind(sentence: Column) -> Column:
+    """Whether a sentence's duration is of the therapy or of the history; null without a duration, unclear without a cue."""
+    has = sentence.rlike(r"(?i)\b\d+[- ]?(?:days?|weeks?|months?)\b")
+    history = sentence.rlike(r"(?i)\b(?:history|since|past|last)\b|\bago\b")
+    therapy = sentence.rlike(r"(?i)\b(?:give|take|continue|start|prescribe|mg|mcg|ml)\b")
+    return F.when(~F.coalesce(has, F.lit(False)), None).when(history & ~therapy, "history").when(therapy & ~history, "therapy").otherwise("unclear")
+
+
+def exportable(jobs: DataFrame) -> DataFrame:
+    """Jobs(status) with error_code 403 unless they are verified."""
+    return jobs.withColumn("error_code", F.when(~F.col("status").eqNullSafe("verified"), 403))
+
+
+def own_rows(rows: DataFrame, hospital_id) -> DataFrame:
+    """The rows of one hospital only; the predicate reaches the scan."""
+    return rows.where(F.col("hospital_id") == hospital_id)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import patterns as P
 from ..functions.normalize import AFTER_NUMBERS, BEFORE_NUMBERS, lang_tag, normalize, number_words
-from ..operators import audio, evaluate, extract, merge, ocr, slots, validate
+from ..operators import audio, evaluate, extract, merge, ocr, provenance, slots, validate
 from ..sources import files
 from ..streaming import monitor
 from . import synth
@@ -551,3 +551,86 @@ def idempotency_keys(spark, d):
 @query()
 def token_buckets(spark, d):
     return monitor.token_bucket(_events(spark, d), 0.0001, 3)
+
+
+@query()
+def breaker_states(spark, d):
+    """Calls by provider (here the event's type) that a circuit breaker passes, by its state."""
+    e = _events(spark, d).select("ts", F.col("kind").alias("key"), "id", (F.col("value") > 60).alias("ok"))
+    return monitor.breaker(e, within_s=3600.0, wait_s=1800.0).groupBy("key", "state", "passed").agg(F.count("*").alias("n"))
+
+
+@query()
+def template_publishes(spark, d):
+    e = _events(spark, d).select("ts", F.col("key"), "id", F.expr("id % 7").alias("based_on"))
+    return monitor.publish_conflicts(e).fillna(0, ["error_code"])
+
+
+@query("with e as (select event_id as id, ts, user_id as key, (['stt', 'code', 'template'])[user_id % 3 + 1] as kind, (['put', 'get', 'get', 'get', 'drop', 'get', 'get'])[event_id % 7 + 1] as action from events), w as (select *, max((ts, (action = 'drop')::int, event_id % 7)) filter (action != 'get') over (partition by kind, key order by ts, case action when 'put' then 0 when 'drop' then 1 else 2 end rows unbounded preceding) as last from (select id as event_id, * exclude id from e)), h as (select kind, coalesce(last[2] = 0 and epoch_us(ts) - epoch_us(last[1]) <= case kind when 'stt' then 604800 when 'code' then 2592000 else 3600 end * 1000000::bigint, false) as hit from w where action = 'get') select kind, count(*) as lookups, count(*) filter (hit) as hits from h group by kind")
+def cache_hits(spark, d):
+    kinds = F.array(*map(F.lit, ("stt", "code", "template")))
+    actions = F.array(*map(F.lit, ("put", "get", "get", "get", "drop", "get", "get")))
+    e = _events(spark, d).select("ts", "key", F.element_at(kinds, (F.col("key") % 3 + 1).cast("int")).alias("kind"), F.element_at(actions, (F.col("id") % 7 + 1).cast("int")).alias("action"))
+    return monitor.cache_hits(e).groupBy("kind").agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits"))
+
+
+# ---- provenance and review
+
+def _segments(spark, d):
+    return audio.mock_segments(_notes(spark, d), _sents(spark, d))
+
+
+@query(f"with {_SEG}, x as (select s.job_id, s.sent, min(g.id) filter (trim(g.text) = s.raw or (s.raw != '' and contains(g.text, substr(s.raw, 1, 30)))) as id from sents s left join seg g using (job_id) group by s.job_id, s.sent) select x.job_id, x.sent::int as sent, x.id, round(s, 2)::double as start_s, round(s + dur, 2)::double as end_s from x left join seg g on g.job_id = x.job_id and g.id = x.id")
+def sentence_segments(spark, d):
+    return provenance.segment_of(_sents(spark, d), _segments(spark, d)).withColumnsRenamed({"start": "start_s", "end": "end_s"})
+
+
+@query(f"with {_SEG}, w0 as (select job_id, id, s, unnest(regexp_extract_all(text, '\\S+')) as word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) - 1 as pos from seg), w1 as (select *, round(round(s, 2) + pos * 0.32, 2)::double as a, round(round(s, 2) + (pos + 1) * 0.32, 2)::double as b from w0), c as (select job_id, k as click, 0.75 + 2.5 * k as at_s from notes, range(4) as r(k)) select c.job_id, click::int as click, word, id, pos::int as pos from c join w1 on w1.job_id = c.job_id and a <= at_s and at_s < b")
+def clicked_words(spark, d):
+    c = _notes(spark, d).select("job_id", F.explode(F.array(*map(F.lit, range(4)))).alias("click"))
+    return provenance.word_at(c.withColumn("at", 0.75 + 2.5 * F.col("click")), provenance.words(_segments(spark, d)))
+
+
+def _denied(spark, d):
+    s = _sents(spark, d)
+    return provenance.denied_lines(extract.allergies(s), extract.symptoms(s))
+
+
+@query(f"with {ALLERGIES}, {SYMPTOMS[len(SENTS) + 2:]}, u as (select job_id, 0 as kind, sent, 0 as ord, allergen as text from alg union all select job_id, 1, sent, ord, symptom from sym where negated), r as (select *, row_number() over (partition by job_id order by kind, sent, ord, text)::int as line from u) select job_id, line, substr(text, 1, 40) as text, 30 as x, round(154 + 2.8 * (line - 1), 1)::double as y from r where line <= 3")
+def denied_lines(spark, d):
+    return _denied(spark, d)
+
+
+@query(f"with {DRUGS}, {SYMPTOMS[len(SENTS) + 2:]}, u as (select job_id, 0 as kind, sent, 0 as clause, ord, symptom as word from sym union all select job_id, 1, sent, clause, ord, name from known), p as (select u.*, position(lower(word) in lower(text)) - 1 as before, case lower(word) when 'khansi' then 'cough' when 'bukhar' then 'fever' else lower(word) end as canon from u join notes using (job_id)), f as (select job_id, canon, min((kind, sent, clause, ord, word, before)) as m from p where before >= 0 group by job_id, canon), r as (select job_id, m[5] as word, m[6] as before, row_number() over (partition by job_id order by m)::int as slot from f) select job_id, slot, word, round_even(least(170.0::double, 15::double + (before % 94) * 0.6::double * 9 * (25.4::double / 72)), 1) as x, (66 + 6 * least(before // 94, 1))::int as y from r where slot <= 2")
+def inline_words(spark, d):
+    s = _sents(spark, d)
+    return provenance.inline_words(_notes(spark, d), extract.symptoms(s), _drugs(spark, d))
+
+
+@query()
+def proof_strips(spark, d):
+    n, s = _notes(spark, d), _sents(spark, d)
+    return provenance.proof_strip(n, _segments(spark, d), _drugs(spark, d), slots.vitals_boxes(extract.vitals(s)), _denied(spark, d), extract.findings(n))
+
+
+@query()
+def note_documents(spark, d):
+    """The size of each note as a word-processing file."""
+    return files.render_docx(_slots(spark, d)).select("job_id", F.length("docx").alias("bytes"))
+
+
+@query(f"with {DRUGS}, {DIM}, risky as (select distinct job_id from known left join dim using (name) where coalesce(high_risk, false) or unit = 'mcg'), v as (select job_id, job_id % 11 as seconds, case when job_id % 3 != 0 then case when job_id % 4 = 0 then 'a' else 'b' end end as second, job_id % 17 = 0 as bulk from notes) select job_id, 'REVIEW_TOO_FAST' as code from v where seconds < 5 union all select job_id, 'BULK_ACCEPT_RED' from v where bulk union all select job_id, 'SECOND_REVIEWER_REQUIRED' from v join risky using (job_id) where coalesce(second, 'a') = 'a'")
+def review_refusals(spark, d):
+    r = _notes(spark, d).selectExpr("job_id", "cast(job_id % 11 as double) as seconds", "'a' as reviewer", "case when job_id % 3 != 0 then case when job_id % 4 = 0 then 'a' else 'b' end end as reviewer_2", "job_id % 17 = 0 as bulk_red")
+    return validate.review_refusals(r, _drugs(spark, d), L.drugs(spark))
+
+
+@query(rf"with {SENTS}, k as (select job_id, sent, regexp_matches(raw, '(?i)\b\d+[- ]?(?:days?|weeks?|months?)\b') as has, regexp_matches(raw, '(?i)\b(?:history|since|past|last)\b|\bago\b') as h, regexp_matches(raw, '(?i)\b(?:give|take|continue|start|prescribe|mg|mcg|ml)\b') as t from sents) select case when h and not t then 'history' when t and not h then 'therapy' else 'unclear' end as kind, count(*) as n from k where has group by 1")
+def duration_kinds(spark, d):
+    return _sents(spark, d).groupBy(validate.duration_kind(F.col("raw")).alias("kind")).agg(F.count("*").alias("n")).where("kind is not null")
+
+
+@query("select o_orderkey as job_id, case when o_orderstatus = 'F' then 0 else 403 end::int as error_code from orders where o_custkey % 7 = 2")
+def exportable_jobs(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "verified").otherwise("review").alias("status"), F.expr("o_custkey % 7").alias("hospital_id"))
+    return validate.exportable(validate.own_rows(o, 2)).select("job_id", F.coalesce("error_code", F.lit(0)).alias("error_code"))

@@ -5,8 +5,10 @@ Streams carry a watermark of LATE; rows later than that are dropped by the engin
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LATE = "10 minutes"
@@ -47,22 +49,111 @@ def first_of_key(events: DataFrame) -> DataFrame:
     return events.groupBy("key").agg(F.min(F.struct("ts", "id", "kind", "value")).alias("f")).select("key", "f.*")
 
 
+def folded(rows: DataFrame, key: str, order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
+    """Rows of each key in order through step(state, row) -> (state, result or None), from start(key).
+
+    For rules where each row's result depends on all before. Rows are sorted
+    within their partition (the sort spills) and read batch by batch, so a task
+    holds one state and one batch, however many rows a key has. step gets
+    None for the row after a key's last.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, last, begun = None, None, False
+        names = [c.split()[0] for c in schema.split(", ")]
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                k = getattr(row, key)
+                if not begun or k != last:
+                    if begun:
+                        out.append(step(state, None)[1])
+                    state, last, begun = start(k), k, True
+                state, result = step(state, row)
+                out.append(result)
+            yield pd.DataFrame([r for r in out if r is not None], columns=names)
+        if begun:
+            end = step(state, None)[1]
+            yield pd.DataFrame([end] if end is not None else [], columns=names)
+
+    return rows.where(F.col(key).isNotNull()).repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def _seconds(events: DataFrame, *more: str) -> DataFrame:
+    t = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
+    return events.select(F.col("key").cast("string").alias("key"), t.alias("t"), *more)
+
+
 def token_bucket(events: DataFrame, rate: float = 1.0, burst: float = 10.0) -> DataFrame:
-    """(key, allowed, refused) by token bucket over each key's calls in time order.
+    """(key, allowed, refused) by token bucket over each key's calls in time order."""
+
+    def step(s, row):
+        key, tokens, last, yes, no = s
+        if row is None:
+            return s, (key, yes, no)
+        tokens = burst if last is None else min(burst, tokens + (row.t - last) * rate)
+        ok = tokens >= 1
+        return (key, tokens - ok, row.t, yes + ok, no + (not ok)), None
+
+    return folded(_seconds(events), "key", ["t"], lambda k: (k, burst, None, 0, 0), step, "key string, allowed long, refused long")
+
+
+def breaker(calls: DataFrame, failures: int = 5, within_s: float = 60.0, wait_s: float = 30.0) -> DataFrame:
+    """(key, id, state, passed) of calls(ts, key, id, ok): a circuit breaker for each provider.
+
+    Closed until `failures` failed calls lie within `within_s`; then open, and
+    calls are refused; after `wait_s` the next call is a trial that closes it
+    or opens it again. A null ok is a failure.
+    """
+
+    def step(s, row):
+        opened, failed = s
+        if row is None:
+            return s, None
+        if opened is not None and row.t - opened < wait_s:
+            return s, (row.key, row.id, "open", False)
+        if opened is not None:
+            return ((None, ()) if row.ok else (row.t, ())), (row.key, row.id, "half-open", True)
+        if not row.ok:
+            failed = tuple(t for t in failed if row.t - t <= within_s) + (row.t,)
+        return ((row.t, ()) if len(failed) >= failures else (None, failed)), (row.key, row.id, "closed", True)
+
+    c = _seconds(calls, "id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    return folded(c, "key", ["t", "id"], lambda k: (None, ()), step, "key string, id long, state string, passed boolean")
+
+
+def publish_conflicts(publishes: DataFrame) -> DataFrame:
+    """(key, id, based_on, version, error_code) of publishes(ts, key, id, based_on): optimistic locking of each template.
+
+    A publish passes, and makes the next version, if it is based on the current
+    one (0 at first); a stale one gets 409 and the version stays.
+    """
+
+    def step(version, row):
+        if row is None:
+            return version, None
+        ok = row.based_on == version
+        return version + ok, (row.key, row.id, row.based_on, version + ok, 0 if ok else 409)
+
+    p = _seconds(publishes, "id", F.coalesce(F.col("based_on").cast("long"), F.lit(-1).cast("long")).alias("based_on"))
+    out = folded(p, "key", ["t", "id"], lambda k: 0, step, "key string, id long, based_on long, version long, error_code int")
+    return out.withColumn("error_code", F.nullif("error_code", F.lit(0))).withColumn("based_on", F.nullif("based_on", F.lit(-1).cast("long")))
+
+
+# Seconds that each kind of cached result lives.
+LIFE_S = {"stt": 7 * 86400, "code": 30 * 86400, "template": 3600}
+
+
+def cache_hits(events: DataFrame) -> DataFrame:
+    """Lookups of events(ts, key, kind, action: put, drop or get) with hit: the last put or drop before is a put within its kind's life.
 
-    The tokens left depend on every call before, so a key's times are folded in
-    one task: two doubles a call.
+    An as-of join without a join: one window over each (kind, key) carries the
+    last write forward. A write at the same time counts as before the lookup.
     """
-    def pandas(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, last, yes, no = burst, None, 0, 0
-        for t in pdf["t"].sort_values():
-            tokens = burst if last is None else min(burst, tokens + (t - last) * rate)
-            last = t
-            if tokens >= 1:
-                tokens, yes = tokens - 1, yes + 1
-            else:
-                no += 1
-        return pd.DataFrame({"key": [key[0]], "allowed": [yes], "refused": [no]})
-
-    e = events.select(F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t")).withColumn("t", F.col("t") / 1e6)
-    return e.groupBy("key").applyInPandas(pandas, "key string, allowed long, refused long")
+    write = F.col("action").isin("put", "drop")
+    w = Window.partitionBy("kind", "key").orderBy("ts", F.when(F.col("action") == "put", 0).when(F.col("action") == "drop", 1).otherwise(2)).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(write, F.struct("action", "ts")), ignorenulls=True).over(w)
+    life = F.create_map(*[F.lit(x) for kv in LIFE_S.items() for x in kv])[F.col("kind")]
+    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("last.ts").cast("timestamp"))
+    x = events.withColumn("last", last).where("action = 'get'")
+    return x.withColumn("hit", F.coalesce((F.col("last.action") == "put") & (age <= life.cast("long") * 1_000_000), F.lit(False))).drop("last")
