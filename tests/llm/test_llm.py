@@ -246,6 +246,17 @@ def test_toxicity(spark, sf):
     assert s[3] > 0.3 > max(s[:3]) and s[1] == s[2]
 
 
+def test_short_words_count_twice(spark):
+    import pyarrow as pa
+
+    from wardscribe.llm.toxicity import _Features
+
+    maker = _Features(np.full((28, 28, 28), np.log(1 / 28)))
+    found = lambda t: set(maker.of(pa.array([t]))[1].tolist())
+    assert len(found("scum")) == 2 and len(found("scums")) == 2 and len(found("scum") & found("scums")) == 1
+    assert found("") == set() and found("a") == set()
+
+
 def test_toxicity_edges(spark):
     y = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     d = odd_docs(spark)
