@@ -246,6 +246,37 @@ def test_toxicity(spark, sf):
     assert s[3] > 0.3 > max(s[:3]) and s[1] == s[2]
 
 
+def _plain_insults(spark):
+    """A model of documents with an insult in the clear."""
+    bad = ["stupid", "idiot", "rubbish"]
+    rows = [(i, f"there you are said number {i} to the {bad[i % 3] if i % 2 else 'other'} one in the stupor of idioms at hand", i % 2) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return train(d.drop("toxic"), d.drop("text"))
+
+
+def _scores(spark, model, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    return [x._toxicity for x in score(rows, model).orderBy("doc_id").collect()]
+
+
+def test_disguises_reach_the_lattice(spark):
+    """Look-alikes at a word's edges, with a letter or none beside them, and words of 64 bytes or more."""
+    m = _plain_insults(spark)
+    words = ["stupid", "$tupid", "!diot", "$tup!d", "st" + "u" * 80 + "pid", "st" + "u" * 300 + "pid", "rubbi$#"]
+    s = _scores(spark, m, ["there you are"] + ["said the " + w for w in words])
+    assert s[0] < 0.3 < min(s[1:]), dict(zip(words, s[1:]))
+    from wardscribe.llm.toxicity import _Features
+
+    import pyarrow as pa
+
+    seen = []
+    maker = _Features(m.lm)
+    maker._restored = lambda word, gaps=False: seen.append(word) or np.zeros(0, np.uint64)
+    odd = ["a$$", "$h!7", "@$$", "455", "x" + "-abc0" * 40]
+    maker.of(pa.array([" ".join(odd + ["plain", "words", "--", "!!!"])]))
+    assert seen and set(seen) == set(odd)
+
+
 def test_short_words_count_twice(spark):
     import pyarrow as pa
 

@@ -1,8 +1,9 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all documents.
-2. Words that may be disguised - digits or symbols among letters, a letter
-   three times or more, single letters one after another - become lattices:
+2. Words that may be disguised - look-alikes anywhere in the word, its edges
+   too, other symbols among letters or digits, a letter three times or more,
+   single letters one after another - become lattices:
    look-alikes, dropped symbols, collapsed repetitions and closed gaps are
    edges with a cost. Viterbi finds the cheapest reading under the model.
 3. Features are the restored words and their first bytes. Of the features of a
@@ -34,6 +35,9 @@ SUBSTITUTE, DROP, COLLAPSE, KEEP_TWO, CLOSE_GAP = 1.0, 2.0, 0.2, 0.7, 0.1
 N = 28  # a-z, a word's edge (26), any other character (27)
 EDGE, OTHER = 26, 27
 
+_ALIKE = np.zeros(256, bool)
+_ALIKE[[ord(c) for c in LOOKALIKES]] = True
+_SYMBOLS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _CODE = np.full(256, OTHER, np.int64)
 _CODE[97:123] = _CODE[65:91] = np.arange(26)
 _CODE[[9, 10, 11, 12, 13, 32]] = EDGE
@@ -60,11 +64,12 @@ def trigrams(docs: DataFrame) -> np.ndarray:
     return np.log(n / n.sum(2, keepdims=True))
 
 
-def restore(chars: str, model: np.ndarray, gaps: bool = False) -> str:
-    """The cheapest reading of a disguised word (with gaps: of single letters, each gap closed or kept)."""
-    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", chars.lower(), re.S)]
-    beam: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for ch, n in runs:
+def restore(chars: str, model: np.ndarray | list[float], gaps: bool = False) -> str:
+    """The cheapest reading of a disguised word (with gaps: of single letters, each gap closed or kept). A list is the model's cells in order, faster to read."""
+    cells = model if isinstance(model, list) else model.ravel().tolist()
+    beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}  # a reading is a chain (reading before, text)
+    for m in re.finditer(r"(.)\1*", chars.lower(), re.S):
+        ch, n = m[0][0], len(m[0])
         letter = "a" <= ch <= "z"
         steps: list[tuple[float, str]] = []
         if letter:
@@ -73,25 +78,35 @@ def restore(chars: str, model: np.ndarray, gaps: bool = False) -> str:
             steps = [(CLOSE_GAP, ""), (0.0, " ")]
         else:
             steps = [(SUBSTITUTE * n, s * min(n, 2)) for s in LOOKALIKES.get(ch, "")] + ([] if ch.isalnum() else [(DROP, "")]) + [(0.0, ch * n)]
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, text) in beam.items():
             for price, out in steps:
                 x, y, total = a, b, cost + price
                 for c in out:
                     code = ord(c) - 97 if "a" <= c <= "z" else EDGE if c == " " else OTHER
-                    total -= model[x, y, code]
+                    total -= cells[(x * N + y) * N + code]
                     x, y = y, code
                 if (x, y) not in nxt or total < nxt[x, y][0]:
-                    nxt[x, y] = (total, text + out)
+                    nxt[x, y] = (total, (text, out))
         beam = nxt
-    return min((cost - model[a, b, EDGE], text) for (a, b), (cost, text) in beam.items())[1]
+    ends = [(cost - cells[(a * N + b) * N + EDGE], text) for (a, b), (cost, text) in beam.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_unchained(text) for cost, text in ends if cost == least)
+
+
+def _unchained(reading: tuple | None) -> str:
+    parts = []
+    while reading:
+        reading, out = reading
+        parts.append(out)
+    return "".join(reversed(parts))
 
 
 class _Features:
     """Hashed features of the words of a text column, found once for each distinct word of a slice."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.cache = model, {}
+        self.model, self.cache = model.ravel().tolist(), {}
 
     def _hashes(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A column for the whole word and one for each prefix (0 where the word is not longer; the shortest always, so that short words count twice too)."""
@@ -112,8 +127,8 @@ class _Features:
         if key not in self.cache:
             if len(self.cache) > 200_000:
                 self.cache.clear()
-            parts = [p.encode() for p in restore(word[:200] if not gaps else word, self.model, gaps).split() if len(p) > 2]
-            if parts:
+            parts = [p.strip(_SYMBOLS).encode() for p in restore(word, self.model, gaps).split()]
+            if parts := [p for p in parts if len(p) > 2]:
                 buf = np.frombuffer(b"".join(p[:16].ljust(16, b"\0") for p in parts) + bytes(16), np.uint8)
                 s = np.arange(len(parts)) * 16
                 h = self._hashes(buf, s, s + [min(len(p), 16) for p in parts]).ravel()
@@ -144,30 +159,34 @@ class _Features:
         f = feats[slot[wid[ok]]]
         rows, found = np.repeat(row[ok], f.shape[1]), f.ravel()
         rows, found = rows[found != 0], found[found != 0]
-        more = self._disguised(w, first, which, s, e, inner)
+        more = self._disguised(w, first, s, e, wid, row)
         if more:
             rows = np.concatenate((rows, *(np.full(len(h), r) for r, h in more)))
             found = np.concatenate((found, *(h for _, h in more)))
         return rows, found
 
-    def _disguised(self, w: Words, first, which, s, e, inner) -> list[tuple[int, np.ndarray]]:
+    def _disguised(self, w: Words, first, s, e, wid, row) -> list[tuple[int, np.ndarray]]:
+        """(row, features) of readings; first, s, e: distinct words and their bounds without punctuation, wid, row: the rows of each."""
         buf = w.buf
         alpha = (buf >= 97) & (buf <= 122)
         run = lambda m: np.concatenate(([0], np.cumsum(m)))
-        letters, rest = run(alpha), run(~alpha & (buf < 0x80))
+        alike, rest = run(_ALIKE[buf]), run(~alpha & (buf < 0x80))
         same = np.zeros(len(buf), bool)
         same[2:] = alpha[2:] & (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2])
         triple = run(same)
+        change = np.zeros(len(buf), bool)
+        change[1:] = buf[1:] != buf[:-1]
+        changes = run(change)
         a, b = w.starts[first], w.ends[first]
-        odd = ((letters[b] - letters[a] > 1) & (rest[e] - rest[s] > 0) & (b - a < 64)) | ((triple[b] - triple[np.minimum(a + 2, b)] > 0) & (b - a < 64))
+        # a run of one symbol reads as two letters at most, which are no feature
+        odd = (b - a > 2) & (changes[b] - changes[a + 1] > 0) & ((alike[b] - alike[a] > 0) | (rest[e] - rest[s] > 0))
+        odd |= triple[b] - triple[np.minimum(a + 2, b)] > 0
         out: list[tuple[int, np.ndarray]] = []
         text = buf.tobytes()
-        if odd.any():
-            at = np.flatnonzero(odd[which])
-            for i in at:
-                h = self._restored(text[w.starts[i] : w.ends[i]].decode("utf-8", "replace"))
-                if len(h):
-                    out.append((int(w.doc[i]), h))
+        for i, r in zip(*(x[odd[wid]].tolist() for x in (wid, row))):
+            h = self._restored(text[a[i] : b[i]].decode("utf-8", "replace"))
+            if len(h):
+                out.append((r, h))
         single = (w.ends - w.starts == 1) & (alpha[w.starts] | np.isin(buf[w.starts], np.frombuffer("".join(LOOKALIKES).encode(), np.uint8)))
         edge = np.diff(np.concatenate(([0], single.astype(np.int8), [0])))
         for lo, hi in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
