@@ -277,6 +277,22 @@ def test_disguises_reach_the_lattice(spark):
     assert seen and set(seen) == set(odd)
 
 
+def test_spaced_words_end_with_their_text(spark):
+    """The row that follows does not change a score, and two distinct letters are enough."""
+    m = _plain_insults(spark)
+    alone = _scores(spark, m, ["said the i d i o t"])[0]
+    assert alone > 0.3 and all(_scores(spark, m, ["said the i d i o t", after])[0] == alone for after in ("A one", "1", "* # I a"))
+    import pyarrow as pa
+
+    from wardscribe.llm.toxicity import _Features
+
+    seen = []
+    maker = _Features(m.lm)
+    maker._restored = lambda word, gaps=False: seen.append(word) or np.zeros(0, np.uint64)
+    maker.of(pa.array(["p o o p", "a s s", "1 1 1", "no", "i d"]))
+    assert seen == ["p o o p", "a s s", "1 1 1"]
+
+
 def test_short_words_count_twice(spark):
     import pyarrow as pa
 

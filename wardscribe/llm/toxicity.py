@@ -188,14 +188,15 @@ class _Features:
             if len(h):
                 out.append((r, h))
         single = (w.ends - w.starts == 1) & (alpha[w.starts] | np.isin(buf[w.starts], np.frombuffer("".join(LOOKALIKES).encode(), np.uint8)))
-        edge = np.diff(np.concatenate(([0], single.astype(np.int8), [0])))
-        for lo, hi in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+        new = np.ones(len(single) + 1, bool)  # a run ends where its document does
+        new[1:-1] = w.doc[1:] != w.doc[:-1]
+        begin = single & (new[:-1] | ~np.concatenate(([False], single[:-1])))
+        stop = single & (new[1:] | ~np.concatenate((single[1:], [False])))
+        for lo, hi in zip(np.flatnonzero(begin).tolist(), (np.flatnonzero(stop) + 1).tolist()):
             for at in range(lo, hi, 32) if hi - lo > 2 else ():
-                end = min(hi, at + 48)
-                if (w.doc[at:end] == w.doc[at]).all() and len(set(text[w.starts[k]] for k in range(at, end))) > 2:
-                    h = self._restored(" ".join(chr(text[w.starts[k]]) for k in range(at, end)), True)
-                    if len(h):
-                        out.append((int(w.doc[at]), h))
+                h = self._restored(" ".join(chr(text[w.starts[k]]) for k in range(at, min(hi, at + 48))), True)
+                if len(h):
+                    out.append((int(w.doc[at]), h))
         return out
 
 
