@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardscribe.functions import lexicon as L
 from wardscribe.operators import audio, extract, provenance, slots, validate
+from wardscribe.plans.queries import QUERIES
 from wardscribe.sources import files
 from wardscribe.streaming import monitor
 
@@ -133,3 +134,11 @@ def test_documents_open(spark):
     assert ["".join(p.itertext()) for p in ElementTree.fromstring(z.read("word/document.xml"))[0]] == ["a: one", "b: x < y & z"]
     again = {r.job_id: bytes(r.docx) for r in files.render_docx(s.repartition(3)).collect()}
     assert again == {k: bytes(v) for k, v in got.items()}
+
+
+def test_consent_and_export_cover_every_order(spark, sf):
+    jobs = spark.createDataFrame([(1, True, "a", "t"), (2, False, "b", "t"), (3, None, "c", None)], "job_id long, consent boolean, raw_path string, text string")
+    assert sorted(map(tuple, validate.stored(jobs).select("job_id", "raw_path", "text").collect())) == [(1, "a", "t"), (2, None, "t"), (3, None, None)]
+    every = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert QUERIES["stored_jobs"](spark, sf).count() == QUERIES["export_gate"](spark, sf).count() == every
+    assert QUERIES["stored_jobs"](spark, sf).where("not consent and raw_path is not null").count() == 0

@@ -97,6 +97,11 @@ def duration_kind(sentence: Column) -> Column:
     return F.when(~F.coalesce(has, F.lit(False)), None).when(history & ~therapy, "history").when(therapy & ~history, "therapy").otherwise("unclear")
 
 
+def stored(jobs: DataFrame) -> DataFrame:
+    """Jobs(consent, raw_path) without the raw path where consent to store is not given (false or null); all else is kept."""
+    return jobs.withColumn("raw_path", F.when(F.col("consent"), F.col("raw_path")))
+
+
 def exportable(jobs: DataFrame) -> DataFrame:
     """Jobs(status) with error_code 403 unless they are verified."""
     return jobs.withColumn("error_code", F.when(~F.col("status").eqNullSafe("verified"), 403))

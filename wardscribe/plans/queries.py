@@ -429,8 +429,19 @@ def tier_routes(spark, d):
 
 @query("select o_orderkey as job_id, case when o_orderstatus != 'F' then 'audio/' || o_orderkey end as raw_path, o_orderpriority as text from orders where o_custkey % 10 = 3")
 def consented_jobs(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 10 = 3")
-    return o.select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("audio/"), F.col("o_orderkey"))).alias("raw_path"), F.col("o_orderpriority").alias("text"))
+    return _stored(spark, d).where("consent").drop("consent")
+
+
+def _stored(spark, d):
+    """Every order as a job; a null customer gives no consent, finished jobs have no raw path left."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.coalesce(F.expr("o_custkey % 10 = 3"), F.lit(False)).alias("consent"), F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("audio/"), F.col("o_orderkey"))).alias("raw_path"), F.col("o_orderpriority").alias("text"))
+    return validate.stored(o)
+
+
+@query("select o_orderkey as job_id, coalesce(o_custkey % 10 = 3, false) as consent, case when o_custkey % 10 = 3 and o_orderstatus != 'F' then 'audio/' || o_orderkey end as raw_path, o_orderpriority as text from orders")
+def stored_jobs(spark, d):
+    """The consent rule over every order."""
+    return _stored(spark, d)
 
 
 @query("with pins as (select p_partkey as job_id, p_size % 4 as version, p_type as model from part), cur as (select model, max(version) as version from pins group by model) select job_id, p.model, p.version::int as version from pins p join cur c using (model) where p.version != c.version")
@@ -632,5 +643,14 @@ def duration_kinds(spark, d):
 
 @query("select o_orderkey as job_id, case when o_orderstatus = 'F' then 0 else 403 end::int as error_code from orders where o_custkey % 7 = 2")
 def exportable_jobs(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "verified").otherwise("review").alias("status"), F.expr("o_custkey % 7").alias("hospital_id"))
-    return validate.exportable(validate.own_rows(o, 2)).select("job_id", F.coalesce("error_code", F.lit(0)).alias("error_code"))
+    return validate.exportable(validate.own_rows(_statuses(spark, d), 2)).select("job_id", F.coalesce("error_code", F.lit(0)).alias("error_code"))
+
+
+def _statuses(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "verified").otherwise("review").alias("status"), F.expr("o_custkey % 7").alias("hospital_id"))
+
+
+@query("select o_orderkey as job_id, case when o_orderstatus = 'F' then 0 else 403 end::int as error_code from orders")
+def export_gate(spark, d):
+    """The export gate over the jobs of all hospitals."""
+    return validate.exportable(_statuses(spark, d)).select("job_id", F.coalesce("error_code", F.lit(0)).alias("error_code"))
