@@ -325,6 +325,19 @@ def test_html(spark):
     assert len(got) == len(rows) and all(t == want[i] and n == len(t) for i, _, t, n in got)
 
 
+def test_html_shards_share_evidence(spark):
+    """Boilerplate on two pages of a large host goes as it does without shards, wherever the pages fall."""
+    page = lambda i, run: f"<p>{run}</p><div>own{i} text{i} of{i} page{i}</div>"
+    run = lambda k: " ".join(f"r{k}w{j}" for j in range(12))
+    rows = [(i, f"http://big.org/{i}", page(i, run(i // 2))) for i in range(60)] + [(60 + i, f"http://big.org/{60 + i}", f"<article>a{i}</article>" + page(60 + i, run(i))) for i in range(20)]
+    rows += [(100, "http://small.org/", page(100, run(0))), (2, "http://big.org/2", page(2, run(1)))]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda **k: sorted(map(tuple, html.main_text(d, **k).collect()))
+    assert texts(shard=8) == texts()
+    got = {r[0]: r[2] for r in texts(shard=8)}
+    assert all(got[i] == f"own{i} text{i} of{i} page{i}" for i in range(60)) and got[60] == "a0" and got[100].startswith("r0w0")
+
+
 def test_suffix_array():
     rng = np.random.default_rng(4)
     for n in (0, 1, 2, 50):
