@@ -2,18 +2,24 @@
 
 1. Documents with equal shingle sets collapse by a 128-bit set fingerprint.
 2. Each set sends the tokens of its prefix (its smallest hashes: n minus the
-   overlap it needs, plus a tenth) to the buckets of a token-group matrix,
-   where every set is a group. Two linked sets share at least that tenth inside
-   both prefixes, so a set with fewer shared prefix tokens links with nothing.
+   overlap it needs, plus a tenth), once for each chunk of documents, and hears
+   which of them another chunk has. Two linked sets share at least that tenth
+   inside both prefixes, so a set with fewer shared prefix tokens links with
+   nothing and goes.
 3. The survivors are partitioned into groups of similar sets: min-hash bands
    name a leader, the exact Jaccard value confirms it, components are groups.
-4. The matrix is built again with those groups: a row holds the groups whose
-   token union has the token. A set opens other groups only if enough of its
-   prefix lies in other groups' unions; then members that share a prefix token
-   are compared exactly. Links inside a group are already known.
-
-Chunks of documents send each distinct token once, so a token or a copy that a
-third of all documents hold arrives once a chunk.
+4. Prefixes are taken again with rare tokens first. The matrix has a row for
+   each prefix token of each group: the group's token union. A set's tokens
+   that a group's union has bound what it shares with any member; only groups
+   where the bound reaches the tenth, and whose sizes fit, are opened.
+5. A set is compared exactly with those members of an opened group that share
+   a prefix token with it and pass the size and position bounds. Pairs inside a
+   group are never formed: their links are known.
+
+All rows are in proportion to the tokens, whatever the number of chunks: a
+token or a copy that a third of all documents hold is one row a chunk. Tokens
+are ordered by the power of two of their bucket's count in a sketch of SKETCH
+counts, so the order costs a fixed size; any order gives the same links.
 """
 
 from __future__ import annotations
@@ -26,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import cut, partitions
-from .textkit import U, Words, bits, by_bucket, mix, pack48, repeated, slices, unbits, unpack48
+from .session import cut
+from .substrings import chunks, shared_rows
+from .textkit import U, Words, mix, pack48, slices, unpack48
 
-CHUNK_DOCS, BANDS, ROWS = 2000, 4, 3
+CHUNK_DOCS, CHUNK_BYTES, BANDS, ROWS, SKETCH = 2000, 8_000_000, 4, 3, 2**18
 
 
 class _Sets:
@@ -92,27 +99,6 @@ def _only_equal(n, percent: int):
     return 100 * n < percent * (n + 1)
 
 
-class _Prefixes:
-    """The prefix tokens of one chunk's sets, distinct and by bucket."""
-
-    def __init__(self, tokens: np.ndarray, owner: np.ndarray, group: np.ndarray, n_buckets: int):
-        self.owner = owner
-        self.uniq, self.which = np.unique(tokens, return_inverse=True)
-        self.order, self.bounds = by_bucket(self.uniq, n_buckets)
-        self.low = np.full(len(self.uniq), np.iinfo(np.int64).max)
-        self.high = np.full(len(self.uniq), np.iinfo(np.int64).min)
-        np.minimum.at(self.low, self.which, group[owner])
-        np.maximum.at(self.high, self.which, group[owner])
-
-    def shared(self, masks: dict[int, bytes]) -> np.ndarray:
-        """For each token: whether another group holds it."""
-        out = self.low < self.high
-        for k, blob in masks.items():
-            lo, hi = self.bounds[k], self.bounds[k + 1]
-            out[self.order[lo:hi]] |= unbits(blob, hi - lo)
-        return out[self.which]
-
-
 def _sets_of(table: pa.Table, side: pa.Table, size: int, percent: int) -> tuple[_Sets, np.ndarray, np.ndarray]:
     """The chunk's sets, the rows that stand for their set, and their ids."""
     s = _Sets(table["text"], size)
@@ -128,40 +114,38 @@ def _sets_of(table: pa.Table, side: pa.Table, size: int, percent: int) -> tuple[
     return s, np.array(rows, np.int64), ids
 
 
-def _chunk_prefixes(s: _Sets, rows: np.ndarray, percent: int, n_buckets: int) -> _Prefixes:
-    n = s.n[rows]
-    p = _prefix(n, percent)
-    at = np.repeat(s.at[rows], p) + np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
-    return _Prefixes(s.tokens[at], np.repeat(np.arange(len(rows)), p), np.arange(len(rows)), n_buckets)
+class _Prefixes:
+    """The prefix tokens of one chunk's sets."""
 
+    def __init__(self, s: _Sets, rows: np.ndarray, percent: int):
+        p = _prefix(s.n[rows], percent)
+        at = np.repeat(s.at[rows], p) + np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
+        self.owner = np.repeat(np.arange(len(rows)), p)
+        self.uniq, self.which, self.times = np.unique(s.tokens[at].view(np.int64), return_inverse=True, return_counts=True)
 
-_SIDE = "chunk long, rep long, f1 long, f2 long, bucket int, m1 binary"
+    def shared(self, told: np.ndarray) -> np.ndarray:
+        """For each token: whether another set holds it; told: tokens of other chunks."""
+        return ((self.times > 1) | np.isin(self.uniq, told))[self.which]
 
 
-def _survivors(docs: DataFrame, reps: DataFrame, n_chunks: int, size: int, percent: int) -> DataFrame:
-    """Sets that may link with an unequal one: doc, n, tokens (48 bits each), bands, share (of its prefix that others have)."""
-    n_buckets = max(partitions(docs.sparkSession), n_chunks // 8, 1)
-    d = docs.where("doc_id is not null").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)))
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("bucket", "int"), ("m1", "binary"))]
-    r = reps.select(F.pmod(F.xxhash64("rep"), F.lit(n_chunks)).alias("chunk"), "rep", "f1", "f2", *none)
+def _survivors(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Sets that may link with an unequal one: doc, n, tokens (48 bits each), bands, share (of its prefix that others have). docs has chunk, reps as well."""
+    d = docs.where("doc_id is not null").select("chunk", "doc_id", "text")
+    side = reps.select("chunk", "rep", "f1", "f2", F.lit(None).cast("long").alias("token"))
 
     def send(table: pa.Table, side: pa.Table) -> pa.Table:
-        rows, chunk, blobs = [], None, []
+        tokens, chunk = np.zeros(0, np.int64), None
         if table.num_rows and side.num_rows:
             s, mine, _ = _sets_of(table, side, size, percent)
-            p, chunk = _chunk_prefixes(s, mine, percent, n_buckets), table["chunk"][0].as_py()
-            ordered = p.uniq[p.order]
-            rows = [k for k in range(n_buckets) if p.bounds[k] < p.bounds[k + 1]]
-            blobs = [pack48(ordered[p.bounds[k] : p.bounds[k + 1]]) for k in rows]
-        return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+            tokens, chunk = _Prefixes(s, mine, percent).uniq, table["chunk"][0].as_py()
+        return pa.table({"chunk": pa.array([chunk] * len(tokens), pa.int64()), "token": pa.array(tokens)})
 
     def keep(table: pa.Table, side: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], []]
         if table.num_rows and side.num_rows:
             s, mine, ids = _sets_of(table, side.filter(side["rep"].is_valid()), size, percent)
-            p = _chunk_prefixes(s, mine, percent, n_buckets)
-            marks = side.filter(side["bucket"].is_valid())
-            hit = p.shared(dict(zip(marks["bucket"].to_pylist(), marks["m1"].to_pylist())))
+            p = _Prefixes(s, mine, percent)
+            hit = p.shared(side["token"].drop_null().to_numpy())
             count = np.bincount(p.owner[hit], minlength=len(mine))
             share = dict(zip(mine, count / np.maximum(1, _prefix(s.n[mine], percent))))
             for i in mine[count >= _enough(s.n[mine], percent)]:
@@ -172,9 +156,9 @@ def _survivors(docs: DataFrame, reps: DataFrame, n_chunks: int, size: int, perce
                 out[4].append(float(share[i]))
         return pa.table({"doc": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "tokens": pa.array(out[2], pa.binary()), "bands": pa.array(out[3], pa.list_(pa.int64())), "share": pa.array(out[4], pa.float64())})
 
-    m1 = d.groupBy("chunk").cogroup(r.groupBy("chunk")).applyInArrow(send, "bucket int, chunk long, blob binary").groupBy("bucket").applyInArrow(repeated, "bucket int, chunk long, m1 binary")
-    side = r.unionByName(m1, allowMissingColumns=True).selectExpr(*[x.split()[0] for x in _SIDE.split(", ")])
-    return cut(d.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(keep, "doc long, n long, tokens binary, bands array<long>, share double"))
+    sent = d.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(send, "chunk long, token long")
+    told = cut(shared_rows(sent, "token", "chunk")).select("chunk", *[F.lit(None).cast("long").alias(c) for c in ("rep", "f1", "f2")], "token")
+    return cut(d.groupBy("chunk").cogroup(side.unionByName(told).groupBy("chunk")).applyInArrow(keep, "doc long, n long, tokens binary, bands array<long>, share double"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,95 +176,63 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.select("a", "b", "an", "bn", "at", "bt").mapInArrow(check, "a long, b long")
 
 
-def _rare_first(sets: DataFrame, n_chunks: int, percent: int) -> DataFrame:
-    """(doc, n, prefix): each set's prefix when tokens are ordered by the power of two of the number of sets that have them, then by hash."""
-    n_buckets = max(partitions(sets.sparkSession), n_chunks // 8, 1)
-    c = sets.select("doc", "n", "tokens", F.pmod(F.xxhash64("doc"), F.lit(n_chunks)).alias("chunk"))
-
-    def read(table: pa.Table):
-        each = [mix(unpack48(b)) for b in table["tokens"].to_pylist()]
-        uniq, which, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        order, bounds = by_bucket(uniq, n_buckets)
-        return each, uniq, which, times, order, bounds
-
-    def send(table: pa.Table) -> pa.Table:
-        _, uniq, _, times, order, bounds = read(table)
-        rows = [k for k in range(n_buckets) if bounds[k] < bounds[k + 1]]
-        at = [order[bounds[k] : bounds[k + 1]] for k in rows]
-        return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * len(rows), pa.int64()), "blob": pa.array([pack48(uniq[i]) for i in at], pa.binary()), "times": pa.array([times[i].astype("<u2").tobytes() for i in at], pa.binary())})
-
-    def count(table: pa.Table) -> pa.Table:
-        parts = [unpack48(b) for b in table["blob"].to_pylist()]
-        found, which = np.unique(np.concatenate(parts), return_inverse=True)
-        every = np.bincount(which, np.concatenate([np.frombuffer(b, "<u2") for b in table["times"].to_pylist()]), minlength=len(found))
-        power, ends = np.floor(np.log2(every)).astype(np.uint8)[which], np.cumsum([len(x) for x in parts])
-        return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "power": pa.array([power[e - len(x) : e].tobytes() for e, x in zip(ends, parts)], pa.binary())})
-
-    def order_(table: pa.Table, side: pa.Table) -> pa.Table:
-        out: list = []
-        if table.num_rows:
-            each, uniq, which, _, order, bounds = read(table)
-            power = np.zeros(len(uniq), np.uint8)
-            for k, blob in zip(side["bucket"].to_pylist(), side["power"].to_pylist()):
-                power[order[bounds[k] : bounds[k + 1]]] = np.frombuffer(blob, np.uint8)
-            ends = np.cumsum([len(e) for e in each])
-            for x, e in zip(each, ends):
-                mine = power[which[e - len(x) : e]]
-                first = np.lexsort((x, mine))[: int(_prefix(np.int64(len(x)), percent))]
-                out.append(pack48(x[first]))
-        none = table.num_rows == 0
-        return pa.table({"doc": pa.array([], pa.int64()) if none else table["doc"], "n": pa.array([], pa.int64()) if none else table["n"], "prefix": pa.array(out, pa.binary())})
-
-    m = c.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, blob binary, times binary").groupBy("bucket").applyInArrow(count, "bucket int, chunk long, power binary")
-    return c.groupBy("chunk").cogroup(m.groupBy("chunk")).applyInArrow(order_, "doc long, n long, prefix binary")
-
-
-def _other_groups(sets: DataFrame, groups: DataFrame, n_chunks: int, percent: int) -> DataFrame:
-    """Prefix tokens (doc, grp, n, pos, token) of the sets that may link with a set of another group."""
-    n_buckets = max(partitions(sets.sparkSession), n_chunks // 8, 1)
-    p = _rare_first(sets, n_chunks, percent).join(groups, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("component", "doc").alias("grp"), "prefix")
-    p = cut(p.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.lit(n_chunks))))
-
-    def read(table: pa.Table) -> tuple[_Prefixes, list[np.ndarray]]:
-        each = [mix(unpack48(b)) for b in table["prefix"].to_pylist()]
-        owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        return _Prefixes(np.concatenate(each), owner, table["grp"].to_numpy(), n_buckets), each
-
-    def send(table: pa.Table) -> pa.Table:
-        x, _ = read(table)
-        rows = [k for k in range(n_buckets) if x.bounds[k] < x.bounds[k + 1]]
-        at = [x.order[x.bounds[k] : x.bounds[k + 1]] for k in rows]
-        return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * len(rows), pa.int64()), "blob": pa.array([pack48(x.uniq[i]) for i in at], pa.binary()), "low": pa.array([x.low[i].tobytes() for i in at], pa.binary()), "high": pa.array([x.high[i].tobytes() for i in at], pa.binary())})
-
-    def several(table: pa.Table) -> pa.Table:
-        parts = [unpack48(b) for b in table["blob"].to_pylist()]
-        found, which = np.unique(np.concatenate(parts), return_inverse=True)
-        low, high = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
-        np.minimum.at(low, which, np.concatenate([np.frombuffer(b, np.int64) for b in table["low"].to_pylist()]))
-        np.maximum.at(high, which, np.concatenate([np.frombuffer(b, np.int64) for b in table["high"].to_pylist()]))
-        hit, ends = (low < high)[which], np.cumsum([len(x) for x in parts])
-        return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "m1": pa.array([bits(hit[e - len(x) : e]) for e, x in zip(ends, parts)], pa.binary())})
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """The power of two of the number of tokens in each bucket of the sketch: SKETCH counts, whatever the input."""
 
-    def keep(table: pa.Table, side: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], []]
-        if table.num_rows and side.num_rows:
-            x, each = read(table)
-            hit = x.shared(dict(zip(side["bucket"].to_pylist(), side["m1"].to_pylist())))
-            n, ends = table["n"].to_numpy(), np.cumsum([len(e) for e in each])
-            for i, (doc, grp, e) in enumerate(zip(table["doc"].to_pylist(), table["grp"].to_pylist(), ends)):
-                mine = hit[e - len(each[i]) : e]
-                if mine.sum() >= _enough(n[i], percent):
-                    first = int(n[i] - _needs(n[i], percent) + 1)
-                    for at in np.flatnonzero(mine[:first]):
-                        for o, v in zip(out, (doc, grp, int(n[i]), int(at), int(each[i][at].view(np.int64)))):
-                            o.append(v)
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc", "grp", "n", "pos", "token"), out)})
-
-    m = p.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, blob binary, low binary, high binary").groupBy("bucket").applyInArrow(several, "bucket int, chunk long, m1 binary")
-    return cut(p.groupBy("chunk").cogroup(m.groupBy("chunk")).applyInArrow(keep, "doc long, grp long, n long, pos long, token long"))
-
-
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for b in batches:
+            for blob in b["tokens"].to_pylist():
+                np.add.at(total, (mix(unpack48(blob)) % U(SKETCH)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
+
+    found = sets.select("tokens").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    power = np.zeros(SKETCH, np.uint8)
+    power[found["k"].to_numpy()] = np.floor(np.log2(found["n"].to_numpy())).astype(np.uint8)
+    return power
+
+
+def _prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, n, pos, token): each set's prefix, rare tokens first."""
+    power = _rarity(sets)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                tokens = []
+                for blob in part["tokens"].to_pylist():
+                    x = mix(unpack48(blob))
+                    tokens.append(x[np.lexsort((x, power[(x % U(SKETCH)).astype(np.int64)]))[: int(_prefix(np.int64(len(x)), percent))]].view(np.int64))
+                size = np.array([len(t) for t in tokens])
+                row = pa.array(np.repeat(np.arange(len(size)), size))
+                pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([part["doc"].take(row), part["n"].take(row), pa.array(pos), pa.array(np.concatenate(tokens))], ["doc", "n", "pos", "token"])
+
+    return sets.select("doc", "n", "tokens").mapInArrow(rows, "doc long, n long, pos long, token long")
+
+
+def _group_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets of different groups that may link, from the groups that each set opens."""
+    need = F.ceil(F.col("n") * percent / 100)
+    enough = F.greatest(F.lit(1), F.floor(need / 10))
+    t = _prefix_rows(sets, percent).join(groups, F.col("doc") == F.col("node"), "left").select("doc", "n", "pos", "token", F.coalesce("component", "doc").alias("grp"))
+    several = t.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
+    t = t.join(several, "token", "left_semi")
+    some = t.groupBy("doc").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= enough).select("doc")
+    t = cut(t.join(some, "doc", "left_semi"))
+    matrix = t.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "other")
+    fits = f"grp < other and 100 * n >= {percent} * least and 100 * most >= {percent} * n"
+    opened = t.select("doc", "grp", "n", "token").join(matrix, "token").where(fits).groupBy("doc", "n", "other").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("doc", "other")
+    first = t.where(F.col("pos") <= F.col("n") - need)  # linked sets share a token here
+    x = first.join(opened, "doc").select(F.col("doc").alias("a"), F.col("other").alias("grp"), "token", F.col("n").alias("an"), F.col("pos").alias("i"))
+    y = first.select("grp", "token", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("j"))
+    near = f"100 * least(an, bn) >= {percent} * greatest(an, bn) and {100 + percent} * least(an - i, bn - j) >= {percent} * (an + bn)"
+    return x.join(y, ["grp", "token"]).where(near).select("a", "b").distinct()
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, chunk_docs: int = CHUNK_DOCS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Documents linked when 100 * |A & B| >= percent * |A | B| for their sets of distinct word shingles.
 
     docs: doc_id long, text string; other columns are ignored. Returns a row for
@@ -291,7 +243,6 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, chunk
     A null doc_id takes no part: its component_id is null. Repeated rows and
     repeated ids share a component. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +252,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, chunk
                 yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s.n), *map(pa.array, s.prints())], ["doc_id", "n", "f1", "f2"])
 
     slim = cut(d.mapInArrow(prints, "doc_id long, n long, f1 long, f2 long"))
-    n_chunks = max(1, -(-slim.count() // chunk_docs))
     reps = cut(slim.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
-    sets = _survivors(d, reps.where(~_only_equal(F.col("n"), percent)), n_chunks, words, percent)
+    n = F.lit(chunks(d, chunk_docs, chunk_bytes))
+    few = reps.where(~_only_equal(F.col("n"), percent)).withColumn("chunk", F.pmod(F.xxhash64("rep"), n))
+    sets = _survivors(d.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), n)), few, words, percent)
 
     best = F.struct((-F.col("share")).alias("s"), F.col("doc").alias("doc"))
     each = sets.select("doc", best.alias("own"), F.posexplode("bands").alias("band", "key"))
@@ -311,10 +263,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, chunk
     near = each.join(lead, ["band", "key"]).groupBy("doc").agg(F.min("lead").alias("lead")).select("doc", F.col("lead.doc").alias("lead")).where("lead != doc")
     links = cut(_links(near.select(F.col("lead").alias("a"), F.col("doc").alias("b")), sets, percent))
 
-    t = _other_groups(sets, components(links, "a", "b"), n_chunks, percent)
-    x, y = t.toDF("a", "ag", "an", "i", "token"), t.toDF("b", "bg", "bn", "j", "token")
-    fits = f"ag < bg and 100 * least(an, bn) >= {percent} * greatest(an, bn) and {100 + percent} * least(an - i, bn - j) >= {percent} * (an + bn)"
-    links = links.union(_links(x.join(y, "token").where(fits).select("a", "b").distinct(), sets, percent))
+    links = links.union(_links(_group_pairs(sets, components(links, "a", "b"), percent), sets, percent))
 
     found = components(links, "a", "b")
     named = reps.join(found, reps.rep == found.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))

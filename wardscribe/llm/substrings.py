@@ -7,11 +7,13 @@ same place inside both. A window whose three anchors occur in one document
 only is therefore unique and is never looked at again; the others are extended
 to the full 13 words, hashed with 96 bits beside their bucket and compared.
 
-Documents are dealt into chunks of about 2,000 by a hash. A chunk sends each
-distinct anchor once to its bucket, so a passage that a third of all documents
-hold arrives once a chunk; buckets answer with a bit for each anchor, the
-chunk sends its candidate windows once each, and buckets answer again with a
-bit. The three passes over the text read one shuffle.
+Documents are dealt into chunks by a hash, some CHUNK_DOCS documents and
+CHUNK_BYTES of text each. A chunk sends each distinct anchor as one row, sorted
+with those of the other chunks, and hears which of them another chunk has; it
+then sends each distinct candidate window as one row with the smallest doc_id
+that has it here, and hears for which another chunk has a smaller one. Rows
+are in proportion to the words whatever the number of chunks, sorts spill, and
+a passage that a third of all documents hold is one row a chunk.
 """
 
 from __future__ import annotations
@@ -21,68 +23,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import partitions
-from .textkit import U, Words, bits, bucket_of, by_bucket, pack48, repeated, unbits, unpack48
+from .session import cut
+from .textkit import U, Words
 
 WINDOW, PERIOD, COVER, ANCHOR = 13, 7, (0, 1, 3), 7
-CHUNK_DOCS = 2000
+CHUNK_DOCS, CHUNK_BYTES = 2000, 8_000_000
 NO_ID = np.iinfo(np.int64).max
 
 
 class _Chunk:
     """Words, anchors and windows of one chunk's documents."""
 
-    def __init__(self, table: pa.Table, n_buckets: int):
-        self.n_buckets, self.words = n_buckets, Words(table["text"])
-        w = self.words
+    def __init__(self, table: pa.Table):
+        self.words = w = Words(table["text"])
         self.ids = table["doc_id"].combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
         at = w.windows(ANCHOR)
         place = at - w.first[w.doc[at]]
         self.at = at[np.isin(place % PERIOD, COVER)]
-        h = w.roll(self.at, ANCHOR, 1)
-        self.anchors, self.which = np.unique(h, return_inverse=True)
-        order, self.bounds = by_bucket(self.anchors, n_buckets)
-        self.order = order
+        self.anchors, self.which = np.unique(w.roll(self.at, ANCHOR, 1).view(np.int64), return_inverse=True)
+
+    def candidates(self, told: np.ndarray) -> None:
+        """Keeps the windows that hold an anchor which other documents hold; told: anchors of other chunks."""
+        w = self.words
         low = np.full(len(self.anchors), NO_ID)
         high = np.full(len(self.anchors), -NO_ID)
         owner = self.ids[w.doc[self.at]]
         np.minimum.at(low, self.which, owner)
         np.maximum.at(high, self.which, owner)
-        self.local = low < high
-
-    def candidates(self, blobs: dict[int, bytes]) -> None:
-        """Keeps the windows that hold an anchor which other documents hold."""
-        w, shared = self.words, self.local.copy()
-        for k, blob in blobs.items():
-            lo, hi = self.bounds[k], self.bounds[k + 1]
-            shared[self.order[lo:hi]] |= unbits(blob, hi - lo)
+        shared = (low < high) | np.isin(self.anchors, told)
         held = np.zeros(len(w.starts) + 1, np.int64)
         held[self.at[shared[self.which]]] = 1
         run = np.concatenate(([0], np.cumsum(held)))
         at = w.windows(WINDOW)
         self.wat = at[run[at + WINDOW - ANCHOR + 1] > run[at]]
-        one, two = w.roll(self.wat, WINDOW, 2), w.roll(self.wat, WINDOW, 3)
-        key = np.empty(len(one), [("b", U), ("a", U), ("c", np.uint32)])
-        key["b"], key["a"], key["c"] = bucket_of(one, self.n_buckets), one & U(0xFFFFFFFFFFFF), two >> U(32)
-        order = np.lexsort((key["c"], key["a"], key["b"]))
+        a, c = w.roll(self.wat, WINDOW, 2).view(np.int64), (w.roll(self.wat, WINDOW, 3) >> U(33)).astype(np.int64)
+        order = np.lexsort((c, a))
         new = np.ones(len(order), bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
+        new[1:] = (a[order[1:]] != a[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
         self.wwhich = np.empty(len(order), np.int64)
         self.wwhich[order] = np.cumsum(new) - 1
-        self.keys = key[order[new]]
-        self.wlow = np.full(len(self.keys), NO_ID)
+        self.a, self.c = a[order[new]], c[order[new]]
+        self.wlow = np.full(len(self.a), NO_ID)
         np.minimum.at(self.wlow, self.wwhich, self.ids[w.doc[self.wat]])
-        self.wbounds = np.searchsorted(self.keys["b"], np.arange(self.n_buckets + 1))
-
-    def removed(self, blobs: dict[int, bytes]) -> np.ndarray:
-        """A mask of the words that a repeated window covers."""
-        w, earlier = self.words, np.zeros(len(self.keys), bool)
-        for k, blob in blobs.items():
-            lo, hi = self.wbounds[k], self.wbounds[k + 1]
-            earlier[lo:hi] = unbits(blob, hi - lo)
+
+    def removed(self, told: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """A mask of the words that a repeated window covers; told: windows that another chunk has in an earlier document."""
+        w = self.words
+        mine, theirs = (np.rec.fromarrays(k, names="a,c") for k in ((self.a, self.c), told))
+        earlier = np.isin(mine, theirs)
         gone = self.wat[earlier[self.wwhich] | (self.ids[w.doc[self.wat]] > self.wlow[self.wwhich])]
         step = np.zeros(len(w.starts) + 1, np.int64)
         np.add.at(step, gone, 1)
@@ -90,55 +82,34 @@ class _Chunk:
         return np.cumsum(step[:-1]) > 0
 
 
-def _send(n_buckets: int):
-    def anchors(table: pa.Table) -> pa.Table:
-        c = _Chunk(table, n_buckets)
-        rows = [k for k in range(n_buckets) if c.bounds[k] < c.bounds[k + 1]]
-        ordered = c.anchors[c.order]
-        return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * len(rows), pa.int64()), "blob": pa.array([pack48(ordered[c.bounds[k] : c.bounds[k + 1]]) for k in rows], pa.binary())})
-
-    return anchors
-
-
-def _blobs(table: pa.Table, name: str) -> dict[int, bytes]:
-    return dict(zip(table["bucket"].to_pylist(), table[name].to_pylist())) if table.num_rows else {}
-
-
-def _send_windows(n_buckets: int):
-    def windows(docs: pa.Table, masks: pa.Table) -> pa.Table:
-        out: dict = {"bucket": [], "chunk": [], "m1": [], "blob": [], "low": []}
-        if docs.num_rows:
-            m1 = _blobs(masks, "m1")
-            c = _Chunk(docs, n_buckets)
-            c.candidates(m1)
-            chunk = docs["chunk"][0].as_py()
-            for k in range(n_buckets):
-                lo, hi = c.wbounds[k], c.wbounds[k + 1]
-                if lo < hi or k in m1:
-                    keys = c.keys[lo:hi]
-                    low = pack48(keys["a"]) + keys["c"].astype("<u4").tobytes()
-                    for name, x in zip(out, (k, chunk, m1.get(k), low, c.wlow[lo:hi].astype("<i8").tobytes())):
-                        out[name].append(x)
-        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
-
-    return windows
-
-
-def _earlier(table: pa.Table) -> pa.Table:
-    """For each window of each chunk, whether another chunk has it in a document with a smaller id than any here."""
-    blobs, lows = table["blob"].to_pylist(), [np.frombuffer(b, "<i8") for b in table["low"].to_pylist()]
-    a = np.concatenate([unpack48(b[: len(n) * 6]) for b, n in zip(blobs, lows)])
-    c = np.concatenate([np.frombuffer(b[len(n) * 6 :], "<u4") for b, n in zip(blobs, lows)])
-    low = np.concatenate(lows)
-    order = np.lexsort((c, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order[1:]] != a[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    least = np.minimum.reduceat(low[order], np.flatnonzero(new)) if len(order) else low
-    less = least[which] < low if len(order) else np.zeros(0, bool)
-    ends = np.cumsum([len(x) for x in lows])
-    return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "m1": table["m1"], "m2": pa.array([bits(less[e - len(x) : e]) for e, x in zip(ends, lows)], pa.binary())})
+def _chunk_of(table: pa.Table) -> int:
+    return table["chunk"][0].as_py()
+
+
+def _anchors(table: pa.Table) -> pa.Table:
+    c = _Chunk(table)
+    return pa.table({"chunk": pa.array(np.full(len(c.anchors), _chunk_of(table))), "a": pa.array(c.anchors)})
+
+
+def _told(marks: pa.Table, windows: bool):
+    kind = pa.compute.is_valid(marks["c"]) if windows else pa.compute.is_null(marks["c"])
+    m = marks.filter(kind)
+    a = m["a"].to_numpy().astype(np.int64)
+    return (a, m["c"].to_numpy().astype(np.int64)) if windows else a
+
+
+def _windows(table: pa.Table, marks: pa.Table) -> pa.Table:
+    if not table.num_rows:
+        return pa.table({n: pa.array([], pa.int64()) for n in ("chunk", "a", "c", "low")})
+    c = _Chunk(table)
+    c.candidates(_told(marks, False))
+    return pa.table({"chunk": pa.array(np.full(len(c.a), _chunk_of(table))), "a": pa.array(c.a), "c": pa.array(c.c), "low": pa.array(c.wlow)})
+
+
+def shared_rows(rows: DataFrame, by: str, other: str) -> DataFrame:
+    """The distinct rows (by, other) whose `by` another row has too."""
+    w = Window.partitionBy(by).orderBy(other)
+    return rows.withColumn("_b", F.lag(other).over(w)).withColumn("_n", F.lead(other).over(w)).where("_b is not null or _n is not null").drop("_b", "_n")
 
 
 def _digest(w: Words, gone: np.ndarray) -> Iterator[tuple[int, int, str]]:
@@ -174,7 +145,13 @@ def _spans(w: Words, gone: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
-def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool = False) -> DataFrame:
+def chunks(docs: DataFrame, chunk_docs: int, chunk_bytes: int) -> int:
+    """So many chunks of docs (text) that they hold about the given documents and bytes at most."""
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    return max(1, -(-size.n // chunk_docs), -(-size.b // chunk_bytes))
+
+
+def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Words that repeat a 13-word window of a document with a smaller doc_id.
 
     docs: doc_id long, text string; other columns are ignored. Returns doc_id,
@@ -186,22 +163,22 @@ def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool
     each other's words. A null doc_id counts as larger than any other. Rows
     that are repeated give repeated rows; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    n_chunks = max(1, -(-docs.count() // chunk_docs))
-    n_buckets = max(partitions(spark), n_chunks // 4, 1)
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] if texts else []
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
-    d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
-    m1 = d.groupBy("chunk").applyInArrow(_send(n_buckets), "bucket int, chunk long, blob binary").groupBy("bucket").applyInArrow(repeated, "bucket int, chunk long, m1 binary")
-    m2 = d.groupBy("chunk").cogroup(m1.groupBy("chunk")).applyInArrow(_send_windows(n_buckets), "bucket int, chunk long, m1 binary, blob binary, low binary").groupBy("bucket").applyInArrow(_earlier, "bucket int, chunk long, m1 binary, m2 binary")
-
-    def final(table: pa.Table, masks: pa.Table) -> pa.Table:
+    d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks(d, chunk_docs, chunk_bytes))))
+    anchors = d.select("chunk", "doc_id", "text").groupBy("chunk").applyInArrow(_anchors, "chunk long, a long")
+    m1 = cut(shared_rows(anchors, "a", "chunk")).select("chunk", "a", F.lit(None).cast("long").alias("c"))
+    windows = d.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(m1.groupBy("chunk")).applyInArrow(_windows, "chunk long, a long, c long, low long")
+    least = F.min("low").over(Window.partitionBy("a", "c"))
+    m2 = cut(windows.withColumn("least", least).where("least < low").select("chunk", "a", "c"))
+
+    def final(table: pa.Table, marks: pa.Table) -> pa.Table:
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"text": pa.string(), "rest": table.schema.field("rest").type} if texts else {})
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
-        c = _Chunk(table, n_buckets)
-        c.candidates({k: v for k, v in _blobs(masks, "m1").items() if v is not None})
-        gone = c.removed(_blobs(masks, "m2"))
+        c = _Chunk(table)
+        c.candidates(_told(marks, False))
+        gone = c.removed(_told(marks, True))
         n, cut_, sha = zip(*_digest(c.words, gone))
         out = {"doc_id": table["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(cut_, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         if texts:
@@ -218,4 +195,4 @@ def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool
         return pa.table(out)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (f", text string, rest {d.schema['rest'].dataType.simpleString()}" if texts else "")
-    return d.groupBy("chunk").cogroup(m2.groupBy("chunk")).applyInArrow(final, schema)
+    return d.groupBy("chunk").cogroup(m1.unionByName(m2).groupBy("chunk")).applyInArrow(final, schema)

@@ -104,25 +104,6 @@ def unpack48(blob: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def by_bucket(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts by (bucket, low 48 bits), and the n_buckets + 1 bounds. The bucket is taken from the high bits."""
-    bucket = bucket_of(h, n_buckets)
-    order = np.lexsort((h & U(0xFFFFFFFFFFFF), bucket))
-    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-
-
-def bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((h >> U(40)) * U(n_buckets)) >> U(24)
-
-
-def bits(mask: np.ndarray) -> bytes:
-    return np.packbits(mask).tobytes()
-
-
-def unbits(blob: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
-
-
 def slices(batch, column: str, limit: int = 4_000_000):
     """Parts of a record batch whose texts hold about `limit` bytes at most; one longer text is a part of its own."""
     size = np.cumsum(np.diff(text_bytes(batch.column(column))[1]))
@@ -132,15 +113,3 @@ def slices(batch, column: str, limit: int = 4_000_000):
         end = max(at + 1, int(np.searchsorted(size, done + limit, "right")))
         yield batch.slice(at, end - at)
         at = end
-
-
-def repeated(table: pa.Table) -> pa.Table:
-    """Of the rows (bucket, chunk, blob of distinct 48-bit numbers) of one bucket: for each chunk, a bit a number that is set if another chunk has it too."""
-    parts = [unpack48(b) for b in table["blob"].to_pylist()]
-    found, times = np.unique(np.concatenate(parts), return_counts=True)
-    twice = found[times > 1]
-    at = [np.searchsorted(twice, p) for p in parts]
-    hits = [(twice[np.minimum(a, len(twice) - 1)] == p) if len(twice) else np.zeros(len(p), bool) for a, p in zip(at, parts)]
-    some = [i for i, m in enumerate(hits) if m.any()]
-    pick = pa.array(some, pa.int64())
-    return pa.table({"bucket": table["bucket"].take(pick), "chunk": table["chunk"].take(pick), "m1": pa.array([bits(hits[i]) for i in some], pa.binary())})
