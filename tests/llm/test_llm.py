@@ -291,6 +291,54 @@ def test_spaced_words_end_with_their_text(spark):
     maker._restored = lambda word, gaps=False: seen.append(word) or np.zeros(0, np.uint64)
     maker.of(pa.array(["p o o p", "a s s", "1 1 1", "no", "i d"]))
     assert seen == ["p o o p", "a s s", "1 1 1"]
+    seen.clear()
+    maker.of(pa.array(["x id io t y", "to be or", "of it", "a" + " b" * 200]))
+    assert seen == ["x id io t y", "a" + " b" * 200]
+
+
+def _every_reading(word, model, gaps):
+    """All readings of a word with their costs, one by one."""
+    from itertools import groupby, product
+
+    from wardscribe.llm import toxicity as t
+
+    choices = []
+    for c, run in groupby(word):
+        n = len(list(run))
+        if "a" <= c <= "z":
+            choices.append([(0.0 if n == 1 else t.COLLAPSE, c)] + ([(0.0 if n == 2 else t.KEEP_TWO, c * 2)] if n > 1 else []))
+        elif gaps and c == " ":
+            choices.append([(t.CLOSE_GAP, ""), (0.0, " ")])
+        else:
+            choices.append([(t.SUBSTITUTE * n, x * min(n, 2)) for x in t.LOOKALIKES.get(c, "")] + ([] if c.isalnum() else [(t.DROP, "")]) + [(0.0, c * n)])
+    for way in product(*choices):
+        text = "".join(x for _, x in way)
+        codes = [t.EDGE, t.EDGE, *(ord(c) - 97 if "a" <= c <= "z" else t.EDGE if c == " " else t.OTHER for c in text), t.EDGE]
+        yield sum(p for p, _ in way) - sum(model[x, y, z] for x, y, z in zip(codes, codes[1:], codes[2:])), text
+
+
+def test_restore_against_every_reading():
+    rng = np.random.default_rng(11)
+    model = np.log(rng.dirichlet(np.ones(28) * 0.3, (28, 28)) + 1e-6)
+    letters = list("abcdist") + list("013$!*@+") + ["aaa", "ss", "!!"]
+    for k in range(60):
+        gaps = k % 3 == 0
+        word = (" " if gaps else "").join(rng.choice(letters, rng.integers(1, 7)))
+        every = list(_every_reading(word, model, gaps))
+        least = min(c for c, _ in every)
+        got = restore(word, model, gaps)
+        assert min(c for c, x in every if x == got) <= least + 1e-9
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    """Long words differ by what follows their 16th byte, and slices or partitions change neither model nor score."""
+    rows = [(i, f"some words number {i} abcdefghijklmnop{'xxyy' if i % 2 else 'zzww'}yes and no", i % 2) for i in range(120)] + [(500, "A", 0), (501, "1 i d", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    one, many = (x.drop("toxic") for x in (d.coalesce(1), d.repartition(5, "text")))
+    assert np.array_equal(trigrams(one), trigrams(many))
+    y = d.drop("text")
+    a, b = ({r.doc_id: r._toxicity for r in score(x, train(x, y)).collect()} for x in (one, many))
+    assert a == b and min(a[i] for i in range(1, 120, 2)) > 0.5 > max(a[i] for i in range(0, 120, 2))
 
 
 def test_short_words_count_twice(spark):
@@ -300,7 +348,7 @@ def test_short_words_count_twice(spark):
 
     maker = _Features(np.full((28, 28, 28), np.log(1 / 28)))
     found = lambda t: set(maker.of(pa.array([t]))[1].tolist())
-    assert len(found("scum")) == 2 and len(found("scums")) == 2 and len(found("scum") & found("scums")) == 1
+    assert len(found("scum")) == 2 and len(found("ab")) == 2 and len(found("scums")) == 2 and len(found("scum") & found("scums")) == 1
     assert found("") == set() and found("a") == set()
 
 

@@ -3,7 +3,7 @@
 1. A character trigram model is counted over all documents.
 2. Words that may be disguised - look-alikes anywhere in the word, its edges
    too, other symbols among letters or digits, a letter three times or more,
-   single letters one after another - become lattices:
+   pieces of one or two letters one after another - become lattices:
    look-alikes, dropped symbols, collapsed repetitions and closed gaps are
    edges with a cost. Viterbi finds the cheapest reading under the model.
 3. Features are the restored words and their first bytes. Of the features of a
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, Words, mix, slices
+from .textkit import U, Words, mix, slices, word_hashes
 
 SAMPLE, FEATURES, LEAST_POSITIVE, THRESHOLD = 20_000, 4096, 5, 0.3
 PREFIXES = (4, 5, 6, 7, 9)
@@ -51,7 +51,9 @@ def trigrams(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for b in slices(batch, "text"):
                 w = Words(b["text"], hashes=False)
-                c = np.concatenate((_CODE[w.buf[: w.offs[-1]]], [EDGE, EDGE]))
+                # two edges before each text and after it, so that no count depends on the neighbours
+                c = np.full(w.offs[-1] + 2 * len(w.offs), EDGE)
+                c[np.arange(w.offs[-1]) + 2 * np.repeat(np.arange(1, len(w.offs)), np.diff(w.offs))] = _CODE[w.buf[: w.offs[-1]]]
                 total += np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
@@ -65,7 +67,7 @@ def trigrams(docs: DataFrame) -> np.ndarray:
 
 
 def restore(chars: str, model: np.ndarray | list[float], gaps: bool = False) -> str:
-    """The cheapest reading of a disguised word (with gaps: of single letters, each gap closed or kept). A list is the model's cells in order, faster to read."""
+    """The cheapest reading of a disguised word (with gaps: of pieces, each gap closed or kept). A list is the model's cells in order, faster to read."""
     cells = model if isinstance(model, list) else model.ravel().tolist()
     beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}  # a reading is a chain (reading before, text)
     for m in re.finditer(r"(.)\1*", chars.lower(), re.S):
@@ -110,32 +112,35 @@ class _Features:
 
     def _hashes(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A column for the whole word and one for each prefix (0 where the word is not longer; the shortest always, so that short words count twice too)."""
+        size = ends - starts
+        out = [mix(word_hashes(buf, starts, ends) ^ U(0x517CC1B727220A95))]
         lanes = [np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))[starts], np.ndarray((len(buf) - 15,), "<u8", buf, 8, (1,))[starts]]
-        size, out = ends - starts, []
         with np.errstate(over="ignore"):
-            for k in (16, *PREFIXES):
+            for k in PREFIXES:
                 n = np.minimum(size, k)
                 one = np.where(n >= 8, lanes[0], lanes[0] & ((U(1) << (np.minimum(n, 7).astype(U) * U(8))) - U(1)))
                 rest = np.clip(n - 8, 0, 8)
                 two = np.where(rest >= 8, lanes[1], lanes[1] & ((U(1) << (np.minimum(rest, 7).astype(U) * U(8))) - U(1)))
                 h = mix(mix(one + U(k)) ^ two)
-                out.append(np.where((size > k) | (k in (16, PREFIXES[0])), h, U(0)))
+                out.append(np.where((size > k) | (k == PREFIXES[0]), h, U(0)))
         return np.stack(out, 1)
 
+    def _learn(self, keys: set[tuple[str, bool]]) -> None:
+        """Reads disguised words that are not in the cache; the features of all are found at once."""
+        if len(self.cache) > 200_000:
+            self.cache.clear()
+        new = [k for k in keys if k not in self.cache]
+        each = [[q for p in restore(word, self.model, gaps).split() if len(q := p.strip(_SYMBOLS).encode()) > 1] for word, gaps in new]
+        size = np.array([len(q) for e in each for q in e], np.int64)
+        ends = np.cumsum(size)
+        h = self._hashes(np.frombuffer(b"".join(q for e in each for q in e) + bytes(16), np.uint8), ends - size, ends)
+        at = np.cumsum([0, *map(len, each)])
+        for key, lo, hi in zip(new, at[:-1], at[1:]):
+            f = h[lo:hi].ravel()
+            self.cache[key] = f[f != 0]
+
     def _restored(self, word: str, gaps: bool = False) -> np.ndarray:
-        key = (word, gaps)
-        if key not in self.cache:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            parts = [p.strip(_SYMBOLS).encode() for p in restore(word, self.model, gaps).split()]
-            if parts := [p for p in parts if len(p) > 2]:
-                buf = np.frombuffer(b"".join(p[:16].ljust(16, b"\0") for p in parts) + bytes(16), np.uint8)
-                s = np.arange(len(parts)) * 16
-                h = self._hashes(buf, s, s + [min(len(p), 16) for p in parts]).ravel()
-                self.cache[key] = h[h != 0]
-            else:
-                self.cache[key] = np.zeros(0, U)
-        return self.cache[key]
+        return self.cache[word, gaps]
 
     def of(self, col) -> tuple[np.ndarray, np.ndarray]:
         """(rows, features), each pair once."""
@@ -145,10 +150,10 @@ class _Features:
         _, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
         s, e, buf = w.starts[first].copy(), w.ends[first].copy(), w.buf
         inner = (buf >= 0x80) | ((buf >= 97) & (buf <= 122)) | ((buf >= 48) & (buf <= 57))
-        for _ in range(8):  # punctuation around a word
-            s += (s < e) & ~inner[s]
-            e -= (s < e) & ~inner[np.maximum(e - 1, 0)]
-        words = np.flatnonzero(e - s > 2)
+        place = np.arange(len(buf))  # punctuation around a word goes: to the next letter, and back to the last
+        s = np.minimum(np.minimum.accumulate(np.where(inner, place, len(buf))[::-1])[::-1][s], e)
+        e = np.maximum(np.maximum.accumulate(np.where(inner, place, -1))[e - 1] + 1, s)
+        words = np.flatnonzero(e - s > 1)
         feats = self._hashes(np.concatenate((buf, np.zeros(16, np.uint8))), s[words], e[words])
         # each (word, row) once, then each feature of the word
         pair = np.unique(which.astype(np.int64) * (len(w.offs)) + w.doc)
@@ -181,23 +186,23 @@ class _Features:
         # a run of one symbol reads as two letters at most, which are no feature
         odd = (b - a > 2) & (changes[b] - changes[a + 1] > 0) & ((alike[b] - alike[a] > 0) | (rest[e] - rest[s] > 0))
         odd |= triple[b] - triple[np.minimum(a + 2, b)] > 0
-        out: list[tuple[int, np.ndarray]] = []
         text = buf.tobytes()
-        for i, r in zip(*(x[odd[wid]].tolist() for x in (wid, row))):
-            h = self._restored(text[a[i] : b[i]].decode("utf-8", "replace"))
-            if len(h):
-                out.append((r, h))
-        single = (w.ends - w.starts == 1) & (alpha[w.starts] | np.isin(buf[w.starts], np.frombuffer("".join(LOOKALIKES).encode(), np.uint8)))
-        new = np.ones(len(single) + 1, bool)  # a run ends where its document does
+        asked = [(r, text[a[i] : b[i]].decode("utf-8", "replace"), False) for i, r in zip(*(x[odd[wid]].tolist() for x in (wid, row)))]
+        # words in pieces: three or more words of one or two letters or look-alikes on end, one of them of one
+        like = run(alpha | _ALIKE[buf])
+        size = w.ends - w.starts
+        short = (size <= 2) & (like[w.ends] - like[w.starts] == size)
+        new = np.ones(len(short) + 1, bool)  # a run ends where its document does
         new[1:-1] = w.doc[1:] != w.doc[:-1]
-        begin = single & (new[:-1] | ~np.concatenate(([False], single[:-1])))
-        stop = single & (new[1:] | ~np.concatenate((single[1:], [False])))
-        for lo, hi in zip(np.flatnonzero(begin).tolist(), (np.flatnonzero(stop) + 1).tolist()):
-            for at in range(lo, hi, 32) if hi - lo > 2 else ():
-                h = self._restored(" ".join(chr(text[w.starts[k]]) for k in range(at, min(hi, at + 48))), True)
-                if len(h):
-                    out.append((int(w.doc[at]), h))
-        return out
+        begin = short & (new[:-1] | ~np.concatenate(([False], short[:-1])))
+        stop = short & (new[1:] | ~np.concatenate((short[1:], [False])))
+        ones = run(size == 1)
+        lo, hi = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        ok = (hi - lo > 2) & (ones[hi] > ones[lo])
+        for a_, b_ in zip(lo[ok].tolist(), hi[ok].tolist()):
+            asked.append((int(w.doc[a_]), " ".join(text[w.starts[k] : w.ends[k]].decode("ascii") for k in range(a_, b_)), True))
+        self._learn({(word, gaps) for _, word, gaps in asked})
+        return [(r, h) for r, word, gaps in asked if len(h := self._restored(word, gaps))]
 
 
 def _unique(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
