@@ -24,7 +24,7 @@ from wardscribe.llm.jaccard import jaccard_components  # noqa: E402
 from wardscribe.llm.mixing import mix  # noqa: E402
 from wardscribe.llm.packing import Bins, pack  # noqa: E402
 from wardscribe.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
-from wardscribe.llm.stages import cut_repeats, drop_near_copies, mix_sources  # noqa: E402
+from wardscribe.llm.stages import cut_repeats, drop_near_copies, drop_toxic, mix_sources, pack_sequences  # noqa: E402
 from wardscribe.llm.substrings import dedup_substrings  # noqa: E402
 from wardscribe.llm.toxicity import restore, score, toxicity, train, trigrams  # noqa: E402
 
@@ -434,14 +434,23 @@ def test_empty_tables(spark):
         assert out.count() == 0
 
 
-def test_stages_keep_columns(spark):
-    d = odd_docs(spark)
-    for stage in (drop_near_copies, cut_repeats, mix_sources):
-        out = stage(spark, d, "")
+def test_stages_keep_columns(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 0), (2, 0), (None, 1)], "doc_id long, toxic int").write.parquet(sf + "/labels.parquet")
+    d = odd_docs(spark).selectExpr("*", "1 as _toxicity", "2 as _copies", "3 as _copy", "4 as `a.b`", "5 as n_removed", "6 as token")
+    for stage in (drop_toxic, drop_near_copies, cut_repeats, mix_sources):
+        out = stage(spark, d, sf)
         assert out.columns == d.columns and out.count() > 0
+        assert {tuple(r) for r in out.select("_toxicity", "_copies", "_copy", "`a.b`", "n_removed", "token").collect()} == {(1, 2, 3, 4, 5, 6)}
+        empty = stage(spark, d.limit(0), sf)
+        assert empty.columns == d.columns and empty.count() == 0
+    assert pack_sequences(spark, d, sf).count() >= d.count() and pack_sequences(spark, d.limit(0), sf).count() == 0
     kept = {r.doc_id: r.text for r in cut_repeats(spark, d, "").collect()}
-    assert kept[3] == "end" and 2 not in kept and kept[12] == "a b c" and kept[5] == ""
+    assert kept[3] == "end" and 2 not in kept and kept[12] == "a\u00a0b c" and kept[5] == ""
     assert {r.doc_id for r in drop_near_copies(spark, d, "").collect()} >= {1, 4, 5, 6, 9, None}
+    assert {r.doc_id for r in drop_toxic(spark, d, sf).collect()} == {r.doc_id for r in d.collect()}
+    twins = spark.createDataFrame([(1, "one text of its own here", "s"), (1, "quite another text with the id", "s"), (1, "one text of its own here", "s")], "doc_id long, text string, source string")
+    assert sorted(r.text for r in drop_near_copies(spark, twins, "").collect()) == ["one text of its own here", "quite another text with the id"]
 
 
 def test_pipeline(spark, sf):

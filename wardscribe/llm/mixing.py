@@ -67,7 +67,7 @@ def mix(docs: DataFrame, seed: int = 7, weight=quality, weights: tuple[int, ...]
 
     docs: doc_id, source, text. Returns a row for each row: doc_id, size,
     source_size, target, taken and copies (taken is copies * size); with keep,
-    all columns of docs (even ones of these names) and `_copies`.
+    all columns of docs (even ones of these names, but `_copies`) and `_copies`.
 
     A document is taken whole or not at all in each epoch; the last one taken is
     the one that brings the source nearest to its target. Null and empty texts

@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import cut
 from .textkit import U, Words
@@ -194,5 +195,7 @@ def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool
             out["text"], out["rest"] = pa.array(new, pa.string()), table["rest"]
         return pa.table(out)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (f", text string, rest {d.schema['rest'].dataType.simpleString()}" if texts else "")
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
+    if texts:
+        schema = schema.add("text", "string").add("rest", d.schema["rest"].dataType)
     return d.groupBy("chunk").cogroup(m1.unionByName(m2).groupBy("chunk")).applyInArrow(final, schema)

@@ -299,8 +299,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds _toxicity, 0 to 1, to the rows of docs (text string): the whole text is scored.
 
     Null and empty texts get the score of a text without any feature. Other
-    columns are kept, whatever their names; repeated rows are scored each; an
-    empty table gives an empty one.
+    columns are kept (the name _toxicity is taken); repeated rows are scored
+    each; an empty table gives an empty one.
     """
     x = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
 
