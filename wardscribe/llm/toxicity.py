@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .textkit import U, Words, mix, slices, word_hashes
 
 SAMPLE, FEATURES, LEAST_POSITIVE, THRESHOLD = 20_000, 4096, 5, 0.3
+#: Bytes of text that a worker holds arrays of at a time, and readings that it keeps.
+SLICE, READINGS = 1_000_000, 100_000
 PREFIXES = (4, 5, 6, 7, 9)
 #: What a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "#": "h"}
@@ -49,7 +51,7 @@ def trigrams(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N**3, np.int64)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 w = Words(b["text"], hashes=False)
                 # two edges before each text and after it, so that no count depends on the neighbours
                 c = np.full(w.offs[-1] + 2 * len(w.offs), EDGE)
@@ -127,7 +129,7 @@ class _Features:
 
     def _learn(self, keys: set[tuple[str, bool]]) -> None:
         """Reads disguised words that are not in the cache; the features of all are found at once."""
-        if len(self.cache) > 200_000:
+        if len(self.cache) > READINGS:
             self.cache.clear()
         new = [k for k in keys if k not in self.cache]
         each = [[q for p in restore(word, self.model, gaps).split() if len(q := p.strip(_SYMBOLS).encode()) > 1] for word, gaps in new]
@@ -262,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _Features(lm)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 rows, found = _unique(*maker.of(b["text"]))
                 found, which = np.unique(found, return_inverse=True)
                 pos = np.bincount(which, b["toxic"].to_numpy()[rows], minlength=len(found)).astype(np.int64)
@@ -281,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _Features(lm)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 rows, at = model.present(maker, b["text"])
                 split = np.searchsorted(rows, np.arange(b.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([b["toxic"], pa.array([at[i:j].astype(np.int32) for i, j in zip(split[:-1], split[1:])], pa.list_(pa.int32()))], ["y", "x"])
@@ -307,7 +309,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _Features(model.lm)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([b["row"], pa.array(model.scores(maker, b["text"], b.num_rows))], ["row", "_toxicity"])
 
     return x.mapInArrow(run, x.select("row", F.lit(0.0).alias("_toxicity")).schema).select("row.*", "_toxicity")
