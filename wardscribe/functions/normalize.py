@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import patterns as P
 from .lexicon import LEXICON
 
-#: (pattern, replacement with $n, log entry or None, for speech only)
+# Rewrites in order (pattern, replacement with $n, log entry or None, for speech only).
 BEFORE_NUMBERS = [
     *[(rf"(?i)\b{re.escape(a).replace(chr(92) + ' ', ' ')}\b", b, (a, b), False) for a, b in LEXICON],
     (r"(\d+)\s*(mg|mcg|ml|g)\b", "$1 $2", None, False),
@@ -30,29 +28,40 @@ AFTER_NUMBERS = [
     (r"(?i)((?:BP|blood pressure)[^.]{0,40}?\d+(?:\.\d+)?)\s+of\s+(\d+(?:\.\d+)?)", "$1/$2", None, False),
 ]
 
+# Number words.
 UNITS_ = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
 TENS_ = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
-_VALUE = {w: i for i, w in enumerate(UNITS_)} | {w: 10 * (i + 2) for i, w in enumerate(TENS_)}
-_ANY = "|".join(sorted([*_VALUE, "hundred", "and"], key=len, reverse=True))
-NUMBER_RUN = re.compile(rf"\b(?:{_ANY})(?:[ -](?:{_ANY}))*\b", re.I)
+WORD_VALUE = {w: i for i, w in enumerate(UNITS_)} | {w: 10 * (i + 2) for i, w in enumerate(TENS_)}
+_ANY = "|".join(sorted([*WORD_VALUE, "hundred", "and"], key=len, reverse=True))
+NUMBER_RUN = rf"(?i)\b(?:{_ANY})(?:[ -](?:{_ANY}))*\b"
 
 
-def _spoken(run: re.Match) -> str:
-    """A run of number words as digits; runs that are worth nothing stay."""
-    words = [w for w in re.split("[ -]", run[0].lower()) if w != "and"]
-    base = 0
-    if len(words) > 1 and words[0] in UNITS_[1:10] and words[1] in TENS_:
-        base, words = 100 * _VALUE[words[0]], words[1:]
-    value = 0
-    for w in words:
-        value = max(value, 1) * 100 if w == "hundred" else value + _VALUE[w]
-    return str(base + value) if base + value else run[0]
+def number_words(text: Column | str) -> Column:
+    """Spoken numbers as digits: 'one thirty' is 130, 'five hundred' 500; runs that are worth nothing stay.
 
+    The text is cut at its runs of number words. Each run's words fold into a
+    state: a unit that tens follow at once is set aside as hundreds, 'hundred'
+    scales what is there (at least one), other words add. All in the JVM.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    values = F.create_map(*[F.lit(x) for kv in WORD_VALUE.items() for x in kv])
+
+    def state(aside: Column, now: Column, seen: Column) -> Column:
+        return F.struct(aside.cast("int").alias("aside"), now.cast("int").alias("now"), seen.cast("int").alias("seen"))
+
+    def take(s: Column, w: Column) -> Column:
+        v, one = F.coalesce(values[w], F.lit(0)), s["seen"] + 1
+        spoken_hundred = (s["seen"] == 1) & s["now"].between(1, 9) & (v >= 20)
+        return F.when(w == "hundred", state(s["aside"], F.greatest(s["now"], F.lit(1)) * 100, one)).when(spoken_hundred, state(s["now"] * 100, v, one)).otherwise(state(s["aside"], s["now"] + v, one))
 
-@F.pandas_udf(T.StringType())
-def number_words(text: pd.Series) -> pd.Series:
-    """Spoken numbers as digits: 'one thirty' is 130, 'five hundred' 500. A callback per match has no built-in form."""
-    return text.map(lambda t: t if t is None else NUMBER_RUN.sub(_spoken, t))
+    def digits(run: Column) -> Column:
+        words = F.filter(F.split(F.lower(run), "[ -]"), lambda w: w != "and")
+        total = F.aggregate(words, state(F.lit(0), F.lit(0), F.lit(0)), take, lambda s: s["aside"] + s["now"])
+        return F.when(total > 0, total.cast("string")).otherwise(run)
+
+    between, runs = F.split(t, NUMBER_RUN), F.regexp_extract_all(t, F.lit(NUMBER_RUN), F.lit(0))
+    joined = F.array_join(F.zip_with(between, F.transform(runs, digits), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    return F.when(t.rlike(NUMBER_RUN), joined).otherwise(t)
 
 
 def lang_tag(text: Column) -> Column:
@@ -62,31 +71,44 @@ def lang_tag(text: Column) -> Column:
     return F.when(several | (text.rlike(P.HINGLISH) & latin), "mix").when(ta, "ta-IN").when(hi, "hi-IN").otherwise("en-IN")
 
 
+def _steps(speech: bool, numbers: bool) -> list:
+    """The rewrites in order; None stands for number words."""
+    keep = lambda steps: [x for x in steps if speech or not x[3]]
+    return [*keep(BEFORE_NUMBERS), *([None] if numbers else []), *keep(AFTER_NUMBERS)]
+
+
+def _apply(step, t: Column) -> tuple[Column, Column | None]:
+    """The rewritten text and, if the step is logged, its entry where it fired."""
+    if step is None:
+        return number_words(t), None
+    pattern, to, entry, _ = step
+    new = F.regexp_replace(t, pattern, to)
+    fired = (t != new) if entry and entry[1] == "SpO2" else t.rlike(pattern)
+    return new, F.when(fired, F.struct(F.lit(entry[0]).alias("from"), F.lit(entry[1]).alias("to"))) if entry else None
+
+
 def normalize(notes: DataFrame, source: str = "audio", numbers: bool = True) -> DataFrame:
     """Adds normalized_en, normalizations (array of from, to in order) and lang_tag to notes(text).
 
-    source 'image' skips the mishearing rules; its lines are normalized one by
-    one because no rule but white space runs spans a line break, and those are
-    kept apart by splitting first. Null text gives nulls.
+    source 'image' skips the mishearing rules and normalizes line by line, inside
+    an array of the row, so that repeated rows stay apart. Null text gives nulls.
     """
     if source == "image":
-        lines = notes.select("*", F.posexplode_outer(F.split("text", "\n")).alias("_line", "_part"))
-        done = normalize(lines.withColumn("_whole", F.col("text")).withColumn("text", F.col("_part")), "line", numbers)
-        keep = [c for c in notes.columns if c != "text"]
-        merged = done.groupBy(*keep, F.col("_whole").alias("text")).agg(F.sort_array(F.collect_list(F.struct("_line", "normalized_en", "normalizations"))).alias("_all"))
-        return merged.select(*notes.columns, F.array_join(F.col("_all.normalized_en"), "\n").alias("normalized_en"), F.flatten("_all.normalizations").alias("normalizations"), lang_tag(F.col("text")).alias("lang_tag"))
+        none = F.array().cast("array<struct<from:string,to:string>>")
+        out = notes.withColumn("_l", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("t"), none.alias("log"))))
+        for step in _steps(False, numbers):
+
+            def one(line: Column, step=step) -> Column:
+                new, entry = _apply(step, line["t"])
+                log = line["log"] if entry is None else F.concat(line["log"], F.array_compact(F.array(entry)))
+                return F.struct(new.alias("t"), log.alias("log"))
+
+            out = out.withColumn("_l", F.transform("_l", one))
+        return out.select(*[F.col(f"`{c}`") for c in notes.columns], F.array_join("_l.t", "\n").alias("normalized_en"), F.flatten("_l.log").alias("normalizations"), lang_tag(F.col("text")).alias("lang_tag"))
     out, log = notes.withColumn("_t0", F.col("text")), []
-    k = 0
-    for steps, last in ((BEFORE_NUMBERS, False), (AFTER_NUMBERS, True)):
-        if last and numbers:
-            out = out.withColumn(f"_t{k + 1}", number_words(F.col(f"_t{k}")))
-            k += 1
-        for pattern, to, entry, speech in steps:
-            if speech and source == "line":
-                continue
-            out = out.withColumn(f"_t{k + 1}", F.regexp_replace(f"_t{k}", pattern, to))
-            if entry:
-                fired = F.col(f"_t{k}") != F.col(f"_t{k + 1}") if entry[1] == "SpO2" else F.col(f"_t{k}").rlike(pattern)
-                log.append(F.when(fired, F.struct(F.lit(entry[0]).alias("from"), F.lit(entry[1]).alias("to"))))
-            k += 1
-    return out.select(*notes.columns, F.col(f"_t{k}").alias("normalized_en"), F.array_compact(F.array(*log)).alias("normalizations"), lang_tag(F.col("text")).alias("lang_tag"))
+    for k, step in enumerate(_steps(True, numbers)):
+        new, entry = _apply(step, F.col(f"_t{k}"))
+        out = out.withColumn(f"_t{k + 1}", new)
+        if entry is not None:
+            log.append(entry)
+    return out.select(*[F.col(f"`{c}`") for c in notes.columns], F.col(f"_t{k + 1}").alias("normalized_en"), F.array_compact(F.array(*log)).alias("normalizations"), lang_tag(F.col("text")).alias("lang_tag"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_MB, LONGEST_S, SHORTEST_S = 100, 1800, 0.6
+# Limits of recordings.
+MAX_MB, LONGEST_S, SHORTEST_S, FAINT, LEAST_VOICE = 100, 1800, 0.6, 0.005, 0.05
 
 
 def error_code(size: Column, duration: Column) -> Column:
@@ -23,13 +24,36 @@ def levels(waves: DataFrame, rate: int = 16000) -> DataFrame:
 
 
 def voice_ratio(waves: DataFrame, frame: int = 480, least: float = 0.02) -> DataFrame:
-    """(job_id, frames, speech, ratio): frames whose RMS reaches `least`; where none does, the loudest fifth."""
-    f = waves.select("job_id", F.posexplode("samples").alias("i", "y")).groupBy("job_id", F.floor(F.col("i") / frame).alias("frame")).agg(F.sqrt(F.avg(F.col("y").cast("double") * F.col("y"))).alias("rms"))
-    w = Window.partitionBy("job_id")
-    r = F.row_number().over(w.orderBy(F.col("rms").desc(), "frame"))
-    x = f.withColumn("n", F.count("*").over(w)).withColumn("loud", F.count_if(F.col("rms") >= least).over(w)).withColumn("r", r)
-    speech = F.when(F.col("loud") > 0, F.col("rms") >= least).otherwise(F.col("r") <= F.greatest(F.floor(F.col("n") * 0.2), F.lit(1)))
-    return x.groupBy("job_id").agg(F.count("*").alias("frames"), F.count_if(speech).alias("speech")).withColumn("ratio", F.round(F.col("speech") / F.col("frames"), 6))
+    """(job_id, frames, speech, ratio): frames whose RMS reaches `least`; where none does, the loudest fifth.
+
+    A recording's frames are slices of its own array: no row for a sample, no shuffle.
+    """
+    starts = F.when(F.size("samples") > 0, F.sequence(F.lit(1), F.size("samples"), F.lit(frame))).otherwise(F.array().cast("array<int>"))
+    power = lambda at: F.aggregate(F.slice("samples", at, frame), F.lit(0.0), lambda a, y: a + y.cast("double") * y)
+    rms = F.transform(starts, lambda at: F.sqrt(power(at) / F.least(F.lit(frame), F.size("samples") - at + 1)))
+    x = waves.select("job_id", rms.alias("rms")).withColumn("frames", F.size("rms").cast("long")).where("frames > 0")
+    loud = F.size(F.filter("rms", lambda r: r >= least)).cast("long")
+    speech = F.when(loud > 0, loud).otherwise(F.greatest(F.floor(F.col("frames") * 0.2), F.lit(1)))
+    return x.select("job_id", "frames", speech.alias("speech")).withColumn("ratio", F.round(F.col("speech") / F.col("frames"), 6))
+
+
+def silence(peak: Column, ratio: Column, seconds: Column) -> Column:
+    """422 for a recording without speech: too faint, too little voice or too short; null if fine, and where a value is unknown."""
+    return F.when((peak < FAINT) | (ratio < LEAST_VOICE) | (seconds < SHORTEST_S), 422)
+
+
+def segment_confidence(avg_logprob: Column, capped: bool = False) -> Column:
+    """A segment's confidence from the recognizer's mean log probability; over 1 for sure ones unless capped."""
+    c = F.round(0.7 - avg_logprob, 2)
+    return F.least(c, F.lit(1.0)) if capped else c
+
+
+def scaled(waves: DataFrame) -> DataFrame:
+    """(job_id, samples) at an RMS of 0.1, clipped to -1 to 1; silence stays."""
+    n = F.size("samples")
+    rms = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x) / F.when(n > 0, n))
+    gain = F.coalesce(0.1 / F.when(rms > 0, rms), F.lit(1.0))
+    return waves.select("job_id", "samples", gain.alias("gain")).select("job_id", F.transform("samples", lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double") * F.col("gain")))).alias("samples"))
 
 
 def mock_segments(notes: DataFrame, sents: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ and broadcast dimension joins, and one shuffle where "first wins" needs it.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,36 +50,31 @@ def drug_mentions(sents: DataFrame) -> DataFrame:
     return m.select("job_id", "sent", "clause", "ord", F.lower("g.g1").alias("said"), F.col("g.g2").try_cast("double").alias("dose"), F.coalesce(units[F.lower(unit)], unit).alias("unit"), F.trim("g.g4").alias("frequency"), dur.alias("duration"), "raw", "negated")
 
 
-@F.pandas_udf(T.DoubleType())
-def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Gestalt similarity of two words; no built-in has it."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+@lru_cache(100_000)
+def best_name(said: str) -> tuple[str, float] | None:
+    """The canonical name of the dictionary form most like a word and their Gestalt similarity: 0.60 or more (0.55 from 8 letters); ties by name."""
+    score, name = min((-SequenceMatcher(None, said, form).ratio(), d[0]) for d in L.DRUGS for form in (d[0], *d[1]))
+    return (name, -score) if -score >= (0.55 if len(said) >= 8 else 0.6) else None
 
 
-def fuzzy_names(said: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(said, guess, score) for distinct unknown words: best form at 0.60 or more (0.55 from 8 letters); ties by canonical name.
-
-    The dictionary (60 forms) is broadcast, so each distinct word meets it once.
-    """
-    x = said.select("said").distinct().crossJoin(F.broadcast(aliases)).withColumn("score", gestalt_ratio("said", "alias"))
-    best = x.groupBy("said").agg(F.min(F.struct((-F.col("score")).alias("s"), "canonical")).alias("b"))
-    best = best.select("said", F.col("b.canonical").alias("guess"), (-F.col("b.s")).alias("score"))
-    return best.where(F.col("score") >= F.when(F.length("said") >= 8, 0.55).otherwise(0.6))
+@F.pandas_udf(T.StructType().add("guess", "string").add("score", "double"))
+def guessed(said: pd.Series) -> pd.DataFrame:
+    """best_name of words that are not null; no built-in has the similarity. A worker looks a word up once."""
+    return pd.DataFrame([(best_name(x) or (None, None)) if x is not None else (None, None) for x in said], columns=["guess", "score"])
 
 
 def resolve_drugs(mentions: DataFrame, aliases: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Adds name, confidence, color, note; unknown names go, negated allergens with a dose move to allergies()."""
     m = mentions.join(F.broadcast(aliases), F.col("said") == F.col("alias"), "left")
     if fuzzy:
-        g = fuzzy_names(m.where("canonical is null"), aliases)
-        m = m.join(g, "said", "left")
+        m = m.withColumn("g", guessed(F.when(F.col("canonical").isNull(), F.col("said")))).withColumns({"guess": F.col("g.guess"), "score": F.col("g.score")})
     else:
         m = m.withColumn("guess", F.lit(None).cast("string")).withColumn("score", F.lit(None).cast("double"))
     m = m.where("coalesce(canonical, guess) is not null").where(~(F.col("negated") & F.col("said").isin(*L.ALLERGENS)))
-    guessed, whole = F.col("canonical").isNull(), (F.coalesce("dose", F.lit(0.0)) != 0) & F.col("unit").isNotNull()
+    unsure, whole = F.col("canonical").isNull(), (F.coalesce("dose", F.lit(0.0)) != 0) & F.col("unit").isNotNull()
     return m.select("job_id", "sent", "clause", "ord", F.coalesce("canonical", "guess").alias("name"), "dose", "unit", "frequency", "duration",
-                    F.when(guessed, 0.88).when(whole, 0.96).otherwise(0.70).alias("confidence"), F.when(guessed, "YELLOW").when(whole, "GREEN").otherwise("RED").alias("color"),
-                    F.when(guessed, F.concat(F.lit("fuzzy "), "said", F.lit("->"), "guess", F.lit(" ("), F.format_number("score", 2), F.lit(")"))).alias("note"), "raw", "negated")
+                    F.when(unsure, 0.88).when(whole, 0.96).otherwise(0.70).alias("confidence"), F.when(unsure, "YELLOW").when(whole, "GREEN").otherwise("RED").alias("color"),
+                    F.when(unsure, F.concat(F.lit("fuzzy "), "said", F.lit("->"), "guess", F.lit(" ("), F.format_number("score", 2), F.lit(")"))).alias("note"), "raw", "negated")
 
 
 def symptoms(sents: DataFrame) -> DataFrame:

@@ -13,11 +13,11 @@ LINE_CHARS, LEFT_MM, RIGHT_MM, CHARS, POINTS, MM_A_POINT = 94, 15.0, 170.0, 0.6,
 
 
 def segment_of(sents: DataFrame, segments: DataFrame) -> DataFrame:
-    """(job_id, sent, id, start, end): the first segment of the note that is the sentence or has its first 30 characters; nulls where none."""
-    s = segments.select("job_id", "id", "start", "end", F.col("text").alias("said"))
-    x = sents.select("job_id", "sent", F.coalesce("raw", F.lit("")).alias("raw")).join(s, "job_id", "left")
-    fits = (F.trim("said") == F.trim("raw")) | ((F.col("raw") != "") & F.contains(F.col("said"), F.substring("raw", 1, 30)))
-    first = x.groupBy("job_id", "sent").agg(F.min(F.when(fits, F.struct("id", "start", "end"))).alias("f"))
+    """(job_id, sent, id, start, end): the first segment of the note that is the sentence or has its first 30 characters; nulls where none. A note's segments travel as one array, so no sentence meets them as rows."""
+    each = segments.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("id", "start", "end", F.col("text").alias("said")))).alias("g"))
+    x = sents.select("job_id", "sent", F.coalesce("raw", F.lit("")).alias("raw")).join(each, "job_id", "left")
+    fits = lambda g: (F.trim(g["said"]) == F.trim("raw")) | ((F.col("raw") != "") & F.contains(g["said"], F.substring("raw", 1, 30)))
+    first = x.select("job_id", "sent", F.get(F.filter("g", fits), 0).alias("f"))
     return first.select("job_id", "sent", "f.id", "f.start", "f.end")
 
 

@@ -43,16 +43,26 @@ def sound_alikes(said: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
 def overlaps(segments: DataFrame, least: float = 0.3) -> DataFrame:
     """Pairs of a job's segments (a before b) that overlap by more than `least` seconds.
 
-    An interval join: starts are dealt into buckets as long as a job's longest
-    segment, so a segment meets those of its own and the next bucket only.
+    An interval join by doubling lengths: a segment of a length between 2**k and
+    2**(k + 1) is dealt into the cells of that width that it touches, three at
+    most, and meets the others there; one that is longer than another looks the
+    shorter one's start up in its own cells. So one long segment does not widen
+    the cells of the short ones.
     """
-    width = F.greatest(F.max(F.col("end") - F.col("start")).over(Window.partitionBy("job_id")), F.lit(0.001))
-    s = segments.select("job_id", "id", "start", "end", width.alias("width")).withColumn("bucket", F.floor(F.col("start") / F.col("width")))
-    a = s.withColumn("meets", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1))).selectExpr("job_id", "id as a", "start as a0", "end as a1", "meets as bucket")
-    b = s.selectExpr("job_id", "id as b", "start as b0", "end as b1", "bucket")
-    x = a.join(b, ["job_id", "bucket"]).where("a0 < b0 or (a0 = b0 and a < b)")
-    shared = F.least("a1", "b1") - F.col("b0")
-    return x.where(shared > least).select("job_id", "a", "b", shared.alias("shared"))
+    s = segments.select("job_id", "id", "start", "end").where(F.col("end") - F.col("start") > least)
+    s = s.withColumn("k", F.floor(F.log2(F.col("end") - F.col("start"))).cast("int"))
+    levels = s.groupBy("job_id").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    cell = lambda t, k: F.floor(t / F.pow(F.lit(2.0), k))
+    a = s.withColumn("cell", F.explode(F.sequence(cell(F.col("start"), F.col("k")), cell(F.col("end"), F.col("k")))))
+    a = a.selectExpr("job_id", "id as a", "start as a0", "end as a1", "k", "cell")
+    b = s.join(levels, "job_id").withColumn("k2", F.explode("ks")).where("k2 >= k")
+    b = b.withColumn("cell", F.explode(F.sequence(cell(F.col("start"), F.col("k2")), cell(F.col("end"), F.col("k2")))))
+    b = b.selectExpr("job_id", "id as b", "start as b0", "end as b1", "k as bk", "k2 as k", "cell")
+    x = a.join(b, ["job_id", "k", "cell"]).where("k > bk or a < b")
+    x = x.select("job_id", F.struct(F.col("a0").alias("t"), F.col("a").alias("id"), F.col("a1").alias("e")).alias("x"), F.struct(F.col("b0").alias("t"), F.col("b").alias("id"), F.col("b1").alias("e")).alias("y")).distinct()
+    x = x.select("job_id", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    shared = F.least("x.e", "y.e") - F.col("y.t")
+    return x.where(shared > least).select("job_id", F.col("x.id").alias("a"), F.col("y.id").alias("b"), shared.alias("shared"))
 
 
 def chain_breaks(chain: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ PARTS = [
     pick(f"{K} + 1", ["No penicillin allergy. ", "Patient denies chest pain. ", "I do not have any known allergy to a moxasillin. ", "No allergy. ", "", "Allergy to peanuts. "]),
     pick(f"{C} + 2", ["S-P-O-two 97% on rhoomair. ", "SpO2 95%. ", "Temp is 100.4 degrees F. ", "pulse 88. ", ""]),
     pick(f"{K} + {C} * 2", ["Diagnosis: viral fever. ", "Diagnosis - acute bronchitis. ", ""]),
+    pick(f"{K} + 3", ["Temp one hundred one degrees. ", "Advise rest for five days. ", "", "Oxygen saturation ninety-eight percent. ", "Take dolo six hundred fifty mg. "]),
+    pick(f"{K} + {C}", ["बुखार aur खांसी hai. ", "", "Dose 500 मिलीग्राम. ", "", ""]),
     pick(f"{C}", ["Review after 5 days.", "Come back if worse.", "", "Follow-up in one week."]),
 ]
 NOTES_SQL = f"select {K} as job_id, trim(concat({', '.join(PARTS)})) as text, {DRUG} as said, cast(({K} % 20) * 50 as double) as said_dose, cast({C} % 9 + 1 as int) as said_days, {pick(K, ['en', 'hi', 'ta'])} as lang from orders"

@@ -21,7 +21,7 @@ RATE = 16000
 
 
 def recordings(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, rate, channels, duration, samples, error_code) of WAV files: mono floats at 16 kHz by nearest index; bad files keep a code instead of raising. Spark lists no empty files."""
+    """(path, size, rate, channels, duration, samples, error_code) of WAV files: mono floats at 16 kHz by the index before; bad files keep a code (422 if they cannot be decoded) instead of raising. Spark lists no empty files."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -32,7 +32,7 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
                         kind = {1: np.int8, 2: np.int16, 4: np.int32}[w.getsampwidth()]
                         y = np.frombuffer(w.readframes(w.getnframes()), kind).reshape(-1, w.getnchannels()).mean(1) / float(np.iinfo(kind).max + 1)
                         rate, channels, seconds = w.getframerate(), w.getnchannels(), w.getnframes() / w.getframerate()
-                    at = np.minimum(np.round(np.arange(int(len(y) * RATE / rate)) * rate / RATE).astype(int), len(y) - 1)
+                    at = np.minimum((np.arange(int(len(y) * RATE / rate)) * rate / RATE).astype(int), len(y) - 1)
                     rows.append((name, size, rate, channels, seconds, y[at].astype(np.float32).tolist()))
                 except (wave.Error, EOFError, KeyError, ValueError):
                     rows.append((name, size, None, None, None, None))
@@ -40,7 +40,7 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "length", "content")
     out = raw.mapInPandas(decode, "path string, size long, rate int, channels int, duration double, samples array<float>")
-    return out.withColumn("error_code", error_code(F.col("size"), F.col("duration")))
+    return out.withColumn("error_code", F.coalesce(error_code(F.col("size"), F.col("duration")), F.when(F.col("samples").isNull(), 422)))
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
