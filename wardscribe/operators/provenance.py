@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions.normalize import lang_tag
 
 SECONDS_A_WORD = 0.32
 # The page's columns, and the width of a monospaced character.
@@ -21,6 +22,12 @@ def segment_of(sents: DataFrame, segments: DataFrame) -> DataFrame:
     return first.select("job_id", "sent", "f.id", "f.start", "f.end")
 
 
+def segment_languages(segments: DataFrame, notes: DataFrame) -> DataFrame:
+    """Segments(job_id, text) with lang: a segment's own tag under 200 characters, else that of the note's whole text."""
+    whole = notes.select("job_id", lang_tag(F.col("text")).alias("_whole"))
+    return segments.join(whole, "job_id", "left").withColumn("lang", F.when(F.length("text") < 200, lang_tag(F.col("text"))).otherwise(F.col("_whole"))).drop("_whole")
+
+
 def words(segments: DataFrame) -> DataFrame:
     """(job_id, id, pos, word, start, end): the words of segments, evenly spaced from the segment's start."""
     w = segments.select("job_id", "id", F.col("start").alias("t"), F.posexplode(F.array_remove(F.split(F.trim("text"), r"\s+"), "")).alias("pos", "word"))

@@ -323,12 +323,30 @@ def _slots(spark, d):
     return slots.all_slots(n, extract.symptoms(s), extract.vitals(s), _drugs(spark, d), extract.allergies(s), extract.findings(n), "2024-01-31")
 
 
-@query()
+_REST = lambda piece: piece[len(SENTS) + 2 :]
+_GEOMETRY = ", ".join(f"('{k}', {n}, '{o}')" for k, n, o in slots.GEOMETRY)
+_SLOTS = f"""{_CELLS}, {_REST(SYMPTOMS)}, {_REST(_BOX)}, {_REST(ALLERGIES)}, geometry(key, most, overflow) as (values {_GEOMETRY}),
+cc as (select job_id, arg_min(symptom, sent * 100 + ord) filter (not negated) as s from sym group by job_id),
+fd as (select job_id, nullif(trim(regexp_extract(text, {lit(P.DIAGNOSIS)}, 1)), '') as dx, nullif(trim(regexp_extract(text, {lit(P.FOLLOW_UP)}, 1)), '') as fu from notes),
+every as (
+  select n.job_id, 'cc_blank' as key, coalesce(case s when 'bukhar' then 'fever' when 'khansi' then 'cough' else s end, 'NIL — not heard') as value, case when s is null then 'RED' else 'YELLOW' end as color from notes n left join cc using (job_id)
+  union all select job_id, k, v, case when v = 'NIL' then 'RED' else 'YELLOW' end from (select n.job_id, unnest(['vitals_bp_sys', 'vitals_bp_dia', 'vitals_temp', 'vitals_spo2']) as k, unnest([coalesce(sys, 'NIL'), coalesce(dia, 'NIL'), coalesce(temp, 'NIL'), coalesce(spo2, 'NIL')]) as v from notes n left join box using (job_id))
+  union all select job_id, 'allergy_line', 'NIL — none extracted', 'GREEN' from notes
+  union all select job_id, 'dx_text', coalesce(dx, 'NIL — [DR CONFIRM]'), case when dx is null then 'RED' else 'YELLOW' end from fd
+  union all select job_id, 'dx_code_box', 'NIL', 'RED' from fd
+  union all select job_id, 'fu_text', coalesce(fu, 'NIL — no follow-up heard'), case when fu is null then 'GREEN' else 'YELLOW' end from fd
+  union all select job_id, 'date_box', '2024-01-31', 'GREEN' from fd
+  union all select job_id, 'sign_line', repeat('_', 16), 'GREEN' from fd
+  union all select job_id, key, value, color from cell),
+slot as materialized (select job_id, key, case when length(value) > most and overflow in ('truncate', 'shrink') then substr(value, 1, most - 1) || '…' else value end as text, color, length(value) > most as truncated from every join geometry using (key))"""
+
+
+@query(f"with {_SLOTS} select * from slot")
 def note_slots(spark, d):
     return _slots(spark, d)
 
 
-@query()
+@query(f"""with {_SLOTS} select job_id, '<ul>' || string_agg('<li class="' || lower(color) || '">' || key || ': ' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</li>', '' order by key) || '</ul>' as html from slot group by job_id""")
 def note_html(spark, d):
     return slots.render_html(_slots(spark, d))
 
@@ -355,7 +373,7 @@ def latest_corrections(spark, d):
     return _edits(spark, d).groupBy("job_id", "key").agg(F.max(F.struct("ts", "id", "value"))["value"].alias("value"))
 
 
-@query()
+@query(f"with {_SLOTS}, {_EDITS}, e as (select job_id, key, max((ts, value))[2] as value from edits group by job_id, key), x as (select job_id, color, e.value is not null and e.value != text as changed from slot left join e using (job_id, key)), g as (select job_id, count(*) filter (color = 'RED' and not changed) as red, count(*) filter (changed) as audited from x group by job_id) select *, red = 0 and audited > 0 as may_verify from g")
 def verify_gate(spark, d):
     new, audit = slots.apply_edits(_slots(spark, d), _edits(spark, d))
     return slots.gate(new, audit)
@@ -501,7 +519,15 @@ def shadow_diff(spark, d):
     return a.join(b, ["job_id", "field"], "full").where(~F.col("old").eqNullSafe(F.col("new")))
 
 
-@query()
+_FHIR = f"""{DRUGS}, {_REST(VITALS)},
+entry as (
+  select job_id, 0 as kind, 0 as sent, 0 as clause, 0 as ord, 'Composition' as r, job_id::varchar as t from notes
+  union all select job_id, 1, 0, 0, 0, 'Condition', nullif(trim(regexp_extract(text, {lit(P.DIAGNOSIS)}, 1)), '') from notes
+  union all select job_id, 2, sent, clause, ord, 'MedicationRequest', concat_ws(' ', name, case when coalesce(dose, 0) = 0 then 'NIL' when dose = floor(dose) then dose::bigint::varchar else dose::varchar end, unit) from known
+  union all select job_id, 3, sent, 0, ord, 'Observation', vital from vit)"""
+
+
+@query(f"""with {_FHIR} select job_id, '{{"resourceType":"Bundle","entry":[' || string_agg('{{"resourceType":"' || r || '","text":' || to_json(t)::varchar || '}}', ',' order by kind, sent, clause, ord) || ']}}' as bundle from entry where t is not null group by job_id""")
 def fhir_bundles(spark, d):
     """A bundle a note: its diagnosis as a condition, its drugs as medication requests, its vitals as observations."""
     dr = _drugs(spark, d).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("sent", "clause", "ord", "name", "dose", "unit"))).alias("d"))
@@ -532,6 +558,14 @@ def latency_percentiles(spark, d):
     return evaluate.latency(table(spark, d, "events").withColumnRenamed("event_type", "kind"), "kind", "value")
 
 
+@query(f"with {NOTES}, seg0 as (select job_id, text, case when (regexp_matches(text, '[ऀ-ॿ]')::int + regexp_matches(text, '[஀-௿]')::int + regexp_matches(text, '[A-Za-z]')::int > 1) or (regexp_matches(text, {lit(P.HINGLISH)}) and regexp_matches(text, '[A-Za-z]')) then 'mix' when regexp_matches(text, '[஀-௿]') then 'ta-IN' when regexp_matches(text, '[ऀ-ॿ]') then 'hi-IN' else 'en-IN' end as tag from notes) select tag as lang, length(text) < 200 as own, count(*) as n from seg0 group by all")
+def segment_languages(spark, d):
+    """The tag of each note as one segment: its own if short, else that of the whole text, which here is the same."""
+    n = _notes(spark, d)
+    s = provenance.segment_languages(n.selectExpr("job_id", "0 as id", "text"), n)
+    return s.groupBy("lang", (F.length("text") < 200).alias("own")).agg(F.count("*").alias("n"))
+
+
 @query()
 def word_error_rate(spark, d):
     n = normalize(_notes(spark, d))
