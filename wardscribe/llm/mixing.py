@@ -67,7 +67,7 @@ def mix(docs: DataFrame, seed: int = 7, weight=quality, weights: tuple[int, ...]
 
     docs: doc_id, source, text. Returns a row for each row: doc_id, size,
     source_size, target, taken and copies (taken is copies * size); with keep,
-    all columns of docs (even ones of these names, but `_copies`) and `_copies`.
+    only copies and _row, a struct of all columns of docs, whatever their names.
 
     A document is taken whole or not at all in each epoch; the last one taken is
     the one that brings the source nearest to its target. Null and empty texts
@@ -95,5 +95,5 @@ def mix(docs: DataFrame, seed: int = 7, weight=quality, weights: tuple[int, ...]
     ends = rows.where(last).withColumn("chosen", F.sum("size").over(w) - F.col("size") / 2 <= F.col("r2"))
     out = rows.where(~last).withColumn("chosen", chosen).unionByName(ends).withColumn("copies", F.col("epochs") + F.col("chosen").cast("long"))
     if keep:
-        return out.select("_row.*", F.col("copies").alias("_copies"))
+        return out.select("_row", "copies")
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -20,11 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a doc_id are scored like others. Without labels of both kinds nothing is
     learned: all stay where no toxic label is known.
     """
-    from .toxicity import THRESHOLD, held_out, score, train
+    from .toxicity import THRESHOLD, held_out, scored, train
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
-    scored = score(docs.select(F.struct(*_columns(docs)).alias("row"), "text"), train(docs, labels))
-    return scored.where(F.col("_toxicity") < THRESHOLD).select("row.*")
+    clean = scored(docs, train(docs, labels)).where(F.col("_toxicity") < THRESHOLD)
+    return clean.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +67,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from .mixing import mix
 
-    m = mix(docs.select(F.struct(*_columns(docs)).alias("row"), "doc_id", "source", "text"), keep=True)
-    return m.where("_copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")
+    m = mix(docs, keep=True)
+    return m.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,15 +304,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     columns are kept (the name _toxicity is taken); repeated rows are scored
     each; an empty table gives an empty one.
     """
-    x = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return scored(docs, model).select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns], "_toxicity")
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(rest, text, _toxicity): the rows of docs, their columns but text in rest; a text goes to Python once."""
+    x = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _Features(model.lm)
         for batch in batches:
             for b in slices(batch, "text", SLICE):
-                yield pa.RecordBatch.from_arrays([b["row"], pa.array(model.scores(maker, b["text"], b.num_rows))], ["row", "_toxicity"])
+                yield pa.RecordBatch.from_arrays([b["rest"], b["text"], pa.array(model.scores(maker, b["text"], b.num_rows))], ["rest", "text", "_toxicity"])
 
-    return x.mapInArrow(run, x.select("row", F.lit(0.0).alias("_toxicity")).schema).select("row.*", "_toxicity")
+    return x.mapInArrow(run, x.select("rest", "text", F.lit(0.0).alias("_toxicity")).schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
