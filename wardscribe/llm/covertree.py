@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .session import cut
 from .shards import finite, fit, matrix, search
 
-SHARD, LEAF, GROUP, FAN, OPEN = 8192, 16, 8, 32, 4
+SHARD, FAN, OPEN = 8192, 32, 4
+#: Points of a leaf, candidates and queries: least and most; a 64th and a 16th of the points in between.
+LEAF, GROUP = (16, 64), (8, 32)
 #: Most cells that the driver holds centres of, and rows that they are chosen from.
 CELLS, CELL_SAMPLE = 1024, 8192
 NO_FLOOR = -(2**62)
@@ -33,7 +35,7 @@ NO_FLOOR = -(2**62)
 class CoverTree:
     """Each node covers its points from a centre point; children's centres are more than half the node's radius apart, at most FAN of them, and radii are measured."""
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF):
+    def __init__(self, x: np.ndarray, leaf: int):
         self.x, self.center, self.radius, self.children, self.points = x, [], [], [], []
         self.leaf = leaf
         stack = [(np.arange(len(x)), -1)]
@@ -223,12 +225,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, shard: int
 
     def index(m, block):
         ids, _, x = m
-        return (ids, CoverTree(x)), none
+        return (ids, CoverTree(x, int(np.clip(len(x) // 64, *LEAF)))), none
 
     def ask(state, m):
         ids, tree = state
         qids, floor, x = m
-        a, b, s, pairs = dual_tree(CoverTree(fit(x, tree.x.shape[1]), GROUP), qids, tree, ids, k, floor.astype(float))
+        a, b, s, pairs = dual_tree(CoverTree(fit(x, tree.x.shape[1]), int(np.clip(len(x) // 16, *GROUP))), qids, tree, ids, k, floor.astype(float))
         if scored is not None:
             scored.add(pairs)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s.astype(np.int64), pa.int64())})
