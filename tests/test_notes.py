@@ -66,6 +66,12 @@ def test_normalized(notes):
     assert n[1].lang_tag == "mix" and n[7].normalized_en == "" and n[6].normalized_en is None
 
 
+def test_equal_image_rows_stay_apart(spark):
+    x = spark.createDataFrame([(1, "BP 130 by 80\nfive mg")] * 2 + [(2, None)], "job_id long, text string")
+    got = [(r.job_id, r.normalized_en, len(r.normalizations or [])) for r in normalize(x, source="image").orderBy("job_id").collect()]
+    assert got[:2] == [(1, "BP 130/80\n5 mg", 0)] * 2 and got[2][0] == 2 and not got[2][2]
+
+
 def test_image_lines_are_apart(spark):
     x = spark.createDataFrame([(1, "BPA 130 by AC\nparacetamol\n500mg")], "job_id long, text string")
     r = normalize(x, source="image").first()

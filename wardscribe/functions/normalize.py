@@ -87,6 +87,17 @@ def _apply(step, t: Column) -> tuple[Column, Column | None]:
     return new, F.when(fired, F.struct(F.lit(entry[0]).alias("from"), F.lit(entry[1]).alias("to"))) if entry else None
 
 
+def _line(step):
+    """The step on a line (t, log)."""
+
+    def one(line: Column) -> Column:
+        new, entry = _apply(step, line["t"])
+        log = line["log"] if entry is None else F.concat(line["log"], F.array_compact(F.array(entry)))
+        return F.struct(new.alias("t"), log.alias("log"))
+
+    return one
+
+
 def normalize(notes: DataFrame, source: str = "audio", numbers: bool = True) -> DataFrame:
     """Adds normalized_en, normalizations (array of from, to in order) and lang_tag to notes(text).
 
@@ -97,13 +108,7 @@ def normalize(notes: DataFrame, source: str = "audio", numbers: bool = True) ->
         none = F.array().cast("array<struct<from:string,to:string>>")
         out = notes.withColumn("_l", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("t"), none.alias("log"))))
         for step in _steps(False, numbers):
-
-            def one(line: Column, step=step) -> Column:
-                new, entry = _apply(step, line["t"])
-                log = line["log"] if entry is None else F.concat(line["log"], F.array_compact(F.array(entry)))
-                return F.struct(new.alias("t"), log.alias("log"))
-
-            out = out.withColumn("_l", F.transform("_l", one))
+            out = out.withColumn("_l", F.transform("_l", _line(step)))
         return out.select(*[F.col(f"`{c}`") for c in notes.columns], F.array_join("_l.t", "\n").alias("normalized_en"), F.flatten("_l.log").alias("normalizations"), lang_tag(F.col("text")).alias("lang_tag"))
     out, log = notes.withColumn("_t0", F.col("text")), []
     for k, step in enumerate(_steps(True, numbers)):
