@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .session import cut
 from .substrings import chunks, shared_rows
-from .textkit import U, Words, mix, pack48, slices, unpack48
+from .textkit import U, Words, mix, pack48, slices, tidy, unpack48
 
 CHUNK_DOCS, CHUNK_BYTES, BANDS, ROWS, SKETCH = 2000, 8_000_000, 4, 3, 2**18
 
@@ -133,6 +133,7 @@ def _survivors(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> Dat
     d = docs.where("doc_id is not null").select("chunk", "doc_id", "text")
     side = reps.select("chunk", "rep", "f1", "f2", F.lit(None).cast("long").alias("token"))
 
+    @tidy
     def send(table: pa.Table, side: pa.Table) -> pa.Table:
         tokens, chunk = np.zeros(0, np.int64), None
         if table.num_rows and side.num_rows:
@@ -140,6 +141,7 @@ def _survivors(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> Dat
             tokens, chunk = _Prefixes(s, mine, percent).uniq, table["chunk"][0].as_py()
         return pa.table({"chunk": pa.array([chunk] * len(tokens), pa.int64()), "token": pa.array(tokens)})
 
+    @tidy
     def keep(table: pa.Table, side: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], []]
         if table.num_rows and side.num_rows:
@@ -165,6 +167,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard value suffices."""
     x = pairs.join(sets.select(F.col("doc").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at")), "a").join(sets.select(F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt")), "b")
 
+    @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -179,6 +182,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _rarity(sets: DataFrame) -> np.ndarray:
     """The power of two of the number of tokens in each bucket of the sketch: SKETCH counts, whatever the input."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for b in batches:
@@ -197,6 +201,7 @@ def _prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
     """(doc, n, pos, token): each set's prefix, rare tokens first."""
     power = _rarity(sets)
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
@@ -245,6 +250,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, chunk
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    @tidy
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):

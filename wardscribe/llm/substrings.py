@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import cut
-from .textkit import U, Words
+from .textkit import U, Words, tidy
 
 WINDOW, PERIOD, COVER, ANCHOR = 13, 7, (0, 1, 3), 7
 CHUNK_DOCS, CHUNK_BYTES = 2000, 8_000_000
@@ -87,6 +87,7 @@ def _chunk_of(table: pa.Table) -> int:
     return table["chunk"][0].as_py()
 
 
+@tidy
 def _anchors(table: pa.Table) -> pa.Table:
     c = _Chunk(table)
     return pa.table({"chunk": pa.array(np.full(len(c.anchors), _chunk_of(table))), "a": pa.array(c.anchors)})
@@ -99,6 +100,7 @@ def _told(marks: pa.Table, windows: bool):
     return (a, m["c"].to_numpy().astype(np.int64)) if windows else a
 
 
+@tidy
 def _windows(table: pa.Table, marks: pa.Table) -> pa.Table:
     if not table.num_rows:
         return pa.table({n: pa.array([], pa.int64()) for n in ("chunk", "a", "c", "low")})
@@ -173,6 +175,7 @@ def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool
     least = F.min("low").over(Window.partitionBy("a", "c"))
     m2 = cut(windows.withColumn("least", least).where("least < low").select("chunk", "a", "c"))
 
+    @tidy
     def final(table: pa.Table, marks: pa.Table) -> pa.Table:
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"text": pa.string(), "rest": table.schema.field("rest").type} if texts else {})
         if not table.num_rows:

@@ -6,6 +6,11 @@ those bytes inside a longer character, so byte runs equal character runs.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -13,6 +18,39 @@ U = np.uint64
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 
+def release() -> None:
+    """Hands freed memory back to the system: a worker that waits for its next task would keep it beside those that run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(step: Callable) -> Callable:
+    """A function of one or two groups, or of batches, that releases what it has freed at its end; Spark counts its arguments, so they stay as they are."""
+    if inspect.isgeneratorfunction(step):
+
+        def run(batches):
+            yield from step(batches)
+            release()
+
+    elif step.__code__.co_argcount == 1:
+
+        def run(table):
+            out = step(table)
+            release()
+            return out
+
+    else:
+
+        def run(table, side):
+            out = step(table, side)
+            release()
+            return out
+
+    return functools.wraps(step)(run)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> U(30))

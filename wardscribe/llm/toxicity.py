@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, Words, mix, slices, word_hashes
+from .textkit import U, Words, mix, slices, tidy, word_hashes
 
 SAMPLE, FEATURES, LEAST_POSITIVE, THRESHOLD = 20_000, 4096, 5, 0.3
 #: Bytes of text that a worker holds arrays of at a time, and readings that it keeps.
@@ -48,6 +48,7 @@ _CODE[[9, 10, 11, 12, 13, 32]] = EDGE
 def trigrams(docs: DataFrame) -> np.ndarray:
     """log P(c | a, b) by [a, b, c], from the character counts of all texts (byte-wise, A-Z as a-z)."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N**3, np.int64)
         for batch in batches:
@@ -261,6 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))))
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").select("text", "toxic")
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _Features(lm)
         for batch in batches:
@@ -280,6 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     best = [r[0] for r in f.orderBy(gain.desc(), "f").limit(FEATURES).select("f").collect()]
     model = Model(lm, np.sort(np.array(best, np.int64).view(U)), np.zeros(len(best)), 0.0)
 
+    @tidy
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _Features(lm)
         for batch in batches:
@@ -311,6 +314,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(rest, text, _toxicity): the rows of docs, their columns but text in rest; a text goes to Python once."""
     x = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), F.col("text").cast("string").alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _Features(model.lm)
         for batch in batches:
