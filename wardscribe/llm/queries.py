@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import shared_folder
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -163,11 +167,80 @@ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, root as component_id from
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import best_phrases, collocations
+
+    return best_phrases(collocations(_table(spark, sf_dir, "documents"))).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP11_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as t from documents),
+w as (select lang, regexp_extract_all(t, '[^\x20\x09]+') as w from p),
+g as (select lang, k, w, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) s(k) where len(w) >= k),
+f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as a from g group by all),
+c as (select lang, k, phrase, string_split(phrase, ' ') as w, a, unnest(range(1, k)) as spot from f where k > 1 and a >= 10),
+s as (select c.lang, c.k, c.phrase, c.w, c.a, c.spot, x.a as l, y.a as r, ((1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a))::bigint as score
+  from c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.spot], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.spot + 1:], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, spot) = 1),
+o as (select lang, phrase, max(a) as most from (select lang, array_to_string(w[1:2], ' ') as phrase, a from b where k = 3 union all select lang, array_to_string(w[2:3], ' '), a from b where k = 3) group by all),
+n as (select lang, sum(a)::bigint as n from f where k = 1 group by lang)
+select b.lang, row_number() over (partition by b.lang order by score desc, b.a desc, b.phrase) as rank, b.phrase, b.a, l, r, n.n, score
+from b join n on n.lang = b.lang left join o on o.lang = b.lang and o.phrase = b.phrase and b.k = 2 where most is null or 100 * most < 50 * b.a
+qualify rank <= 2000
+"""
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import payloads_of, read_archives, write_archives
+
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    write_archives(_table(spark, sf_dir, "pages"), folder)
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    r = payloads_of(read_archives(spark, folder))
+    return r.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+
+
+OP12_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b)::bigint as n, sha1(b) as h from p),
+m as (select *, max(page_id) over (partition by h, n) as last from d)
+select page_id, n as payload_bytes, h as payload_digest, case when n >= 1000 and page_id != last then 'revisit' else 'response' end as record_type, case when n >= 1000 and page_id != last then last end as refers_to from m
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixes import prefix_trie, rebuilt
+
+    t = prefix_trie(rebuilt(_table(spark, sf_dir, "conversations")))
+    return t.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP13_SQL = """
+with own as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos from conversations where conv_id is not null),
+ids as (select distinct conv_id, conv_id::varchar as name, conv_id - conv_id % 100 as base from own),
+h as (select conv_id, base, xor(list_reduce(list_concat([4294967295::ubigint], list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::ubigint)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::ubigint * (x & 1)))), 4294967295::ubigint) % 6 as h from ids),
+parts as (select h.conv_id, 0 as part, pos, role, text from h join own on own.conv_id = base and pos <= h
+  union all select own.conv_id, 1, pos, role, text from own join h using (conv_id) where pos > h),
+rows as (select conv_id, row_number() over (partition by conv_id order by part, pos) as d, {'role': role, 'text': text} as t from parts),
+entire as (select h.conv_id, coalesce(list(t order by d) filter (d is not null), []) as turns from h left join rows using (conv_id) group by h.conv_id),
+spots as (select conv_id, len(turns) as n, unnest(range(0, len(turns) + 1)) as depth, turns from entire),
+node as (select depth, turns[1:depth] as k, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * coalesce(length(turns[depth].text), 0) as own,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '')) as ends_sha256 from spots group by depth, turns[1:depth], turns[depth]),
+kids as (select node.conv_id, node.depth, p.conv_id as parent_conv_id from node left join node p on p.depth = node.depth - 1 and p.k = node.k[1:node.depth - 1]),
+many as (select parent_conv_id, depth - 1 as depth, count(*) as n_children from kids where parent_conv_id is not null group by all),
+leaf as (select a.conv_id, a.depth, count(*) filter (m.n_children is null) as n_leaves, sum(b.own)::bigint as saved_tokens
+  from node a join node b on b.depth >= a.depth and b.k[1:a.depth] = a.k left join many m on m.parent_conv_id = b.conv_id and m.depth = b.depth group by a.conv_id, a.depth)
+select node.conv_id, node.depth::bigint as depth, kids.parent_conv_id, n_convs, coalesce(n_children, 0)::bigint as n_children, n_leaves, saved_tokens, ends_sha256
+from node join kids using (conv_id, depth) join leaf using (conv_id, depth) left join many on many.parent_conv_id = node.conv_id and many.depth = node.depth
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_exact_top_k, op3_toxicity, op4_html_text, op5_embedding_dedup, op6_license_scan, op7_substring_dedup, op8_best_fit_packing, op9_url_filter, op10_jaccard_join, pipeline)}
-ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_license_scan": _op6_sql(), "op7_substring_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_exact_top_k, op3_toxicity, op4_html_text, op5_embedding_dedup, op6_license_scan, op7_substring_dedup, op8_best_fit_packing, op9_url_filter, op10_jaccard_join, op11_collocations, op12_warc, op13_prefix_trie, pipeline)}
+ORACLE_SQL = {"op2_exact_top_k": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_license_scan": _op6_sql(), "op7_substring_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_collocations": OP11_SQL, "op12_warc": OP12_SQL, "op13_prefix_trie": OP13_SQL}

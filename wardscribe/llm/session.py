@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -27,20 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows as a Parquet table in the shared folder and reads it back; a lost executor then costs no recomputation.
-
-    Garbage is collected after, twice: Spark's cleaner drops the shuffle files
-    of the finished step only once its plan is unreachable, and the next step
-    needs the disk. As measured, one collection leaves all files, the second none. (spark.sql.shuffleDependency.fileCleanup.enabled leaves the files of a
-    write where they are, as measured with 4.1.2.)
-    """
+    """Writes the rows as a Parquet table in the shared folder and reads it back; a lost executor then costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _MADE.append(path)
-    gc.collect()
-    for pause in (0.5, 0.0):
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(pause)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
