@@ -70,7 +70,7 @@ def rebuilt(turns: DataFrame, group: int = 100, heads: int = 6) -> DataFrame:
 
 
 def _paths(turns: DataFrame) -> DataFrame:
-    """A row for each conversation and depth (0 for the root): conv_id, k1, k2, depth, chars, before (characters above), longest, total."""
+    """A row for each conversation and depth (0 for the root): conv_id, k1, k2, depth, chars, before (characters above), longest, total, range (of ids)."""
     turn = lambda salt: F.xxhash64(F.lit(salt), "role", "text")
     d = turns.where("pos is not null").select("conv_id", "pos", turn(1).alias("t1"), turn(2).alias("t2"), F.char_length("text").cast("long").alias("chars"))
     zero = F.lit(0).cast("long")
@@ -85,7 +85,7 @@ def _paths(turns: DataFrame) -> DataFrame:
         rest = "pmod(_sum, 18446744073709551616bd)"  # modulo 2 ** 64, then into the range of a long
         d = d.withColumn(f"k{k}", F.expr(f"cast({rest} - if({rest} >= 9223372036854775808bd, 18446744073709551616bd, 0bd) as long)"))
     d = d.withColumn("before", F.sum("chars").over(order) - F.col("chars"))
-    return d.select("conv_id", "k1", "k2", "depth", "chars", "before", F.max("depth").over(whole).alias("longest"), F.sum("chars").over(whole).alias("total"))
+    return d.select("conv_id", "k1", "k2", "depth", "chars", "before", F.max("depth").over(whole).alias("longest"), F.sum("chars").over(whole).alias("total"), F.spark_partition_id().alias("range"))
 
 
 def _merged(rows: DataFrame, how: dict[str, str]) -> DataFrame:
@@ -115,7 +115,7 @@ def _end_lists(paths: DataFrame) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b]).sort_by([("k1", "ascending"), ("k2", "ascending"), ("depth", "ascending"), ("conv_id", "ascending")])
-            key = np.column_stack([t[c].to_numpy() for c in _KEY])
+            key = np.column_stack([t[c].to_numpy() for c in [*_KEY, "range"]])  # a batch may hold ranges that are not neighbours
             new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))) if len(key) else np.zeros(0, int)
             cuts = np.unique(np.concatenate([np.arange(a, z, BLOCK) for a, z in zip(new, np.append(new[1:], len(key)))])) if len(key) else new
             ids = t["conv_id"].combine_chunks()
@@ -140,7 +140,7 @@ def _end_lists(paths: DataFrame) -> DataFrame:
             yield done()
 
     kinds = pa.schema([*((c, pa.int64()) for c in _KEY), ("ends_sha256", pa.string()), ("n_ends", pa.int64())])
-    ends = paths.where("depth = longest").select(*_KEY, "conv_id").mapInArrow(blocks, "k1 long, k2 long, depth long, first long, ids array<long>")
+    ends = paths.where("depth = longest").select(*_KEY, "conv_id", "range").mapInArrow(blocks, "k1 long, k2 long, depth long, first long, ids array<long>")
     ends = ends.repartition(partitions(paths.sparkSession), *_KEY).sortWithinPartitions(*_KEY, "first")
     return ends.mapInArrow(digest, "k1 long, k2 long, depth long, ends_sha256 string, n_ends long")
 
