@@ -142,6 +142,12 @@ def test_archives(spark, tmp_path, split):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_archives_without_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SEVERAL", 0)
+    write_archives(spark.createDataFrame(odd_pages(), PAGES), f"{tmp_path}/w", least=3)
+    assert back(spark, tmp_path / "w") == archived(odd_pages(), 3)
+
+
 def test_archives_are_records(spark, tmp_path):
     """A plain reader that follows the declared lengths finds the same records and payloads."""
     write_archives(spark.createDataFrame(odd_pages(), PAGES).coalesce(1), f"{tmp_path}/w")

@@ -31,6 +31,8 @@ from .session import cut
 from .textkit import tidy
 
 MAGIC, END = "WARC/1.", "\r\n\r\n"
+#: Payloads that occur more than once are broadcast up to this number, beyond it pages are shuffled by digest.
+SEVERAL = 100_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = 65536  # a header that does not end within so many bytes is none
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
@@ -58,6 +60,9 @@ def records_of(pages: DataFrame, least: int = 1000) -> DataFrame:
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     d = d.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     several = d.where(F.col("bytes") >= least).groupBy("digest").agg(F.count("*").alias("many"), F.max("page_id").alias("first")).where("many > 1 and first is not null").select("digest", "first")
+    several = cut(several)
+    few = several.limit(SEVERAL + 1).count() <= SEVERAL
+    several = F.broadcast(several) if few else several.hint("merge")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return d.join(several, "digest", "left").select("page_id", "url", "payload", "bytes", "digest", F.when(other, "revisit").otherwise("response").alias("type"), F.when(other, F.col("first")).alias("refers_to"))
 
