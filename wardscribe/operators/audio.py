@@ -43,8 +43,8 @@ def silence(peak: Column, ratio: Column, seconds: Column) -> Column:
 
 
 def segment_confidence(avg_logprob: Column, capped: bool = False) -> Column:
-    """A segment's confidence from the recognizer's mean log probability; over 1 for sure ones unless capped."""
-    c = F.round(0.7 - avg_logprob, 2)
+    """A segment's confidence from the recognizer's mean log probability; over 1 for sure ones unless capped. To hundredths, ties to even in binary arithmetic."""
+    c = F.rint((0.7 - avg_logprob) * 100) / 100
     return F.least(c, F.lit(1.0)) if capped else c
 
 

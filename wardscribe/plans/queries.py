@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import patterns as P
 from ..functions.normalize import AFTER_NUMBERS, BEFORE_NUMBERS, NUMBER_RUN, WORD_VALUE, lang_tag, normalize, number_words
-from ..operators import audio, evaluate, extract, merge, ocr, provenance, slots, validate
+from ..operators import audio, candidates, evaluate, extract, merge, ocr, provenance, slots, validate
 from ..sources import files
-from ..streaming import monitor
+from ..streaming import monitor, ordered
 from . import synth
 
 QUERIES: dict = {}
@@ -540,6 +540,77 @@ def fhir_bundles(spark, d):
     return x.select("job_id", F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), every.alias("entry"))).alias("bundle"))
 
 
+# ---- a model's output: candidates and their merge
+
+_OUTPUTS = rf"""o as materialized ({synth.OUTPUTS_SQL}),
+j as (select *, nullif(regexp_extract(raw, '\{{.*\}}', 0), '') as js from o),
+v as materialized (select *, case when js is null then 'no_json' when not json_valid(js) then 'unparsable' when json_exists(js, '$.drugs') then 'ok' else 'missing_keys' end as status from j),
+ok as (select *, js::json as v, json_extract_string(js, '$.vitals.sys') as sys, json_extract_string(js, '$.vitals.dia') as dia from v where status = 'ok'),
+cand as materialized (select job_id, json_extract_string(v, '$.drugs[0].name') as name, try_cast(json_extract_string(v, '$.drugs[0].dose') as double) as dose, case when json_extract_string(v, '$.drugs[0].unit') = 'mg' then 'mg' end as unit,
+  json_extract_string(v, '$.drugs[0].source_sentence') as said_proof, contains(text, substr(said_proof, 1, 40)) as proven, contains(text, sys) and contains(text, dia) as pair, sys, dia, contains(text, '101') as temp, text from ok)"""
+
+
+def _typed(spark, d, image=False):
+    return candidates.entities(synth.outputs(spark, d), image)
+
+
+def _had(spark, d):
+    """What was found in each note without the model."""
+    text = lambda c: f"named_struct('text', {c}, 'confidence', 0.9d, 'color', 'GREEN', 'negated', false, 'proof', '', 'note', '')"
+    drug = "named_struct('name', {}, 'dose', {}, 'unit', {}, 'frequency', {}, 'duration', '', 'confidence', 0.9d, 'color', 'GREEN', 'proof', '', 'note', '')"
+    own = drug.format("said", "had_dose", "had_unit", "had_frequency")
+    fixed = drug.format("'cetirizine'", "10d", "'mg'", "'daily'")
+    o = synth.outputs(spark, d).selectExpr(
+        "job_id", f"if(had, array({own}, {fixed}), array({fixed})) as drugs", f"array({text('vital')}) as vitals", "cast(null as struct<sys string, dia string, temp string, spo2 string>) as structured",
+        "array() as symptoms", "array() as allergies", f"if(dx is null, null, {text('dx')}) as diagnosis", "null as followup", "null as patient")
+    return o.select("job_id", *[F.col(k).cast(t).alias(k) for k, t in candidates.ENTITIES.items()])
+
+
+@query(rf"with {_OUTPUTS} select v.job_id, status, case when status = 'ok' then 2 else 0 end::int as n_malformed, case when status = 'ok' then 2 else 0 end::int as n_drugs, c.name, c.dose, c.unit, case when said_proof != '' and not proven then '' else said_proof end as proof, case when c.dose is null or c.unit is null then 0.7 when said_proof != '' and not proven then 0.8 else 0.9 end::double * case when status = 'ok' then 1 end as confidence, case when status = 'ok' then trim('llm-primary' || case when c.dose is null or c.unit is null then ' dose/unit missing' else '' end || case when said_proof != '' and not proven then ' unprovenance' else '' end) end as note, coalesce(concat_ws('|', case when pair then 'BP ' || sys || '/' || dia end, case when temp then '101 degree' end), '') as vitals, case when pair then sys end as sys, case when status = 'ok' then 1 else 0 end::int as n_symptoms from v left join cand c using (job_id)")
+def candidate_entities(spark, d):
+    """What a model printed as typed candidates: the first drug of each note with its gates, the vitals, and the counts."""
+    first = lambda k: F.get("drugs", F.lit(0))[k].alias(k)
+    vitals = F.array_join(F.transform("vitals", lambda x: x["text"]), "|")
+    return _typed(spark, d).select("job_id", "status", "n_malformed", F.size("drugs").alias("n_drugs"), *[first(k) for k in ("name", "dose", "unit", "proof", "confidence", "note")], vitals.alias("vitals"), F.col("structured.sys").alias("sys"), F.size("symptoms").alias("n_symptoms"))
+
+
+@query(rf"with {_OUTPUTS} select status, count(*) as notes, sum(case when status = 'ok' then 2 else 0 end)::bigint as malformed from v group by status")
+def malformed_outputs(spark, d):
+    return candidates.output_counts(_typed(spark, d))
+
+
+_MERGED = rf"""with {_OUTPUTS},
+x as (select v.*, c.name as cname, c.dose as cdose, c.unit as cunit, pair, c.sys as csys, c.dia as cdia, temp, proven, said_proof from v left join cand c using (job_id))"""
+_FLAT_MERGE = """select job_id, pos, name, dose, unit, frequency, duration, vitals, dx from d join (select job_id, {vitals} as vitals, {dx} as dx from x) using (job_id)"""
+
+
+@query(rf"""{_MERGED}, d as (
+select job_id, 0 as pos, said as name, coalesce(nullif(had_dose, 0), nullif(cdose, 0), had_dose) as dose, coalesce(had_unit, cunit) as unit, case when had_frequency = '' and status = 'ok' then 'twice daily' else had_frequency end as frequency, case when status = 'ok' then '3 days' else '' end as duration from x where had
+union all select job_id, had::int, 'cetirizine', 10, 'mg', 'daily', case when cname = 'cetirizin' and not had and status = 'ok' then '3 days' else '' end from x
+union all select job_id, 1, cname, cdose, cunit, 'twice daily', '3 days' from x where not had and status = 'ok'
+union all select job_id, 2, 'newdrug', null, null, '', '' from x where status = 'ok')
+{_FLAT_MERGE.format(vitals="concat_ws('|', vital, case when pair and vital != 'BP 120 by 80' then 'BP ' || csys || '/' || cdia end, case when temp then '101 degree' end)", dx="coalesce(dx, case when status = 'ok' then 'flu' end)")}""")
+def merged_candidates(spark, d):
+    """Found drugs with the gaps that candidates fill, and candidates like none of them."""
+    return _flat_merge(candidates.merge_candidates(_had(spark, d), _typed(spark, d)))
+
+
+@query(rf"""{_MERGED}, seen as (select *, status = 'ok' and contains(lower(text), cname) as shown from x), d as (
+select job_id, 0 as pos, said as name, case when coalesce(had_dose, 0) = 0 and shown and cdose != 0 and contains(text, cdose::varchar) then cdose else had_dose end as dose, had_unit as unit, case when had_frequency = '' and shown and contains(lower(text), 'twice daily') then 'twice daily' else had_frequency end as frequency, case when shown and contains(lower(text), '3 days') then '3 days' else '' end as duration from seen where had
+union all select job_id, had::int, 'cetirizine', 10, 'mg', 'daily', '' from seen
+union all select job_id, 1, cname, cdose, cunit, 'twice daily', '3 days' from seen where not had and shown)
+{_FLAT_MERGE.format(vitals="concat_ws('|', vital, case when status = 'ok' and vital != 'BP 120 by 80' and pair and contains(lower(text), lower('BP ' || csys || '/' || cdia)) then 'BP ' || csys || '/' || cdia end, case when temp and contains(text, '101 degree') then '101 degree' end)", dx="coalesce(dx, case when status = 'ok' and contains(lower(text), 'flu') then 'flu' end)")}""")
+def image_candidates(spark, d):
+    """The merge under the image's rules: what a candidate gives must be in the text."""
+    return _flat_merge(candidates.merge_candidates(_had(spark, d), _typed(spark, d, True), synth.outputs(spark, d).select("job_id", "text")))
+
+
+def _flat_merge(m: DataFrame) -> DataFrame:
+    vitals = F.array_join(F.transform("vitals", lambda x: x["text"]), "|").alias("vitals")
+    m = m.select("job_id", vitals, F.col("diagnosis.text").alias("dx"), F.posexplode("drugs").alias("pos", "x"))
+    return m.select("job_id", "pos", *[F.col(f"x.{k}") for k in ("name", "dose", "unit", "frequency", "duration")], "vitals", "dx")
+
+
 # ---- evaluation
 
 _GOLD = "gold as (select job_id, lang, 'drug' as field, said as value from notes union all select job_id, lang, 'days', said_days::varchar from notes), got as (select job_id, lang, field, case when job_id % 9 = 0 then value || '?' else value end as value from gold where job_id % 10 != 0)"
@@ -616,7 +687,7 @@ def scaled_audio(spark, d):
     return audio.levels(audio.scaled(table(spark, d, "embeddings").select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("samples")))).select("job_id", "rms", "peak")
 
 
-@query("select event_id as id, round(0.7 + value / 100, 2)::double as confidence, least(round(0.7 + value / 100, 2), 1.0)::double as capped from events where value is not null")
+@query("select event_id as id, round_even((0.7 + value / 100) * 100, 0)::double / 100 as confidence, least(round_even((0.7 + value / 100) * 100, 0) / 100, 1.0)::double as capped from events where value is not null")
 def segment_confidences(spark, d):
     lp = -F.col("value") / 100
     return table(spark, d, "events").where("value is not null").select(F.col("event_id").alias("id"), audio.segment_confidence(lp).alias("confidence"), audio.segment_confidence(lp, True).alias("capped"))
@@ -634,9 +705,27 @@ def rate_limited(spark, d):
     return monitor.over_limit(_events(spark, d), 1)
 
 
-@query("with s as (select event_type as kind, time_bucket(interval 5 minute, ts) - to_minutes(5 * k::int) as since, value from events, range(2) as r(k)), w as (select kind, since, count(*) as n, avg((value > 0)::int::double) as rate from s group by 1, 2) select kind, since, n, round(rate, 6) as rate from w where rate < 0.9")
+@query("with w as (select event_type as kind, value, unnest([time_bucket(interval 3 hour, ts), time_bucket(interval 3 hour, ts) - interval 3 hour]) as since from events) select kind, since, count(*) as n, round(avg((value > 60)::int::double), 6) as rate from w group by kind, since having avg((value > 60)::int::double) < 0.25")
 def accuracy_alerts(spark, d):
-    return monitor.alerts(_events(spark, d), "10 minutes", "5 minutes", 0.9)
+    """Sliding windows of six hours in which less than a quarter of an event type's values are over 60."""
+    e = _events(spark, d).withColumn("value", F.col("value") - 60)
+    return monitor.alerts(e, "6 hours", "3 hours", 0.25)
+
+
+_SUSTAINED = "with w as (select event_type as kind, time_bucket(interval 1 hour, ts) as s, count(*) as n, avg((value > 60)::int::double) as rate, sum(value) as total, max(value) as most from events group by all), b as (select *, s - to_hours(row_number() over (partition by kind order by s)::int) as island from w where {bad}) select kind, min(s) as since, max(s) + interval 1 hour as until, count(*) as windows from b group by kind, island having count(*) >= {least}"
+
+
+@query(_SUSTAINED.format(bad="rate < 0.34", least=3))
+def sustained_alerts(spark, d):
+    """Times of three hours and more in each hour of which at most a third of an event type's values are over 60."""
+    e = _events(spark, d).withColumn("value", F.col("value") - 60)
+    return monitor.sustained(e, F.col("rate") < 0.34, "1 hour", 3 * 3600)
+
+
+@query(_SUSTAINED.format(bad="most > 100", least=4))
+def depth_alerts(spark, d):
+    """Times of four hours and more whose every hour has a value over 100."""
+    return monitor.sustained(_events(spark, d), F.col("most") > 100, "1 hour", 4 * 3600)
 
 
 @query("with s as (select event_type as kind, date_trunc('hour', ts) as since, value from events) select kind, since, count(*) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99 from s group by 1, 2")
@@ -654,6 +743,37 @@ def idempotency_keys(spark, d):
     return monitor.first_of_key(_events(spark, d)).select("key", "ts", "id")
 
 
+def _stream(spark, d, run, key: str, schema: str) -> DataFrame:
+    """A stream over the events table, published batch by batch through the outbox into a new folder."""
+    spark.conf.set(*next(iter(ordered.STORE.items())))
+    where = files.shared_folder(spark)
+    e = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, for a table may be one file
+    e = e.select("ts", F.col(key).cast("string").alias("key"), F.col("event_type").alias("kind"), "value", F.col("event_id").alias("id"))
+    q = run(e).writeStream.foreachBatch(ordered.outbox(f"{where}/out")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return ordered.published(spark, f"{where}/out", schema)
+
+
+@query()
+def streamed_buckets(spark, d):
+    """Calls of each user that a token bucket passes, by a stream with timers: all that the watermark has passed."""
+    out = _stream(spark, d, lambda e: ordered.bucket_calls(e, 0.0001, 3), "user_id", monitor.BUCKET_CALL)
+    return out.groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
+
+
+@query()
+def streamed_breaker(spark, d):
+    """breaker_states by a stream with timers."""
+    out = _stream(spark, d, lambda e: ordered.breaker(e.withColumn("ok", F.col("value") > 60), within_s=3600.0, wait_s=1800.0), "event_type", monitor.BREAKER_CALL)
+    return out.groupBy("key", "state", "passed").agg(F.count("*").alias("n"))
+
+
+@query("select event_id as id, user_id::varchar as key, event_type as kind, value from events where value > 60")
+def published_events(spark, d):
+    """Events over 60 through a stream's outbox: each once."""
+    return _stream(spark, d, lambda e: e.where("value > 60").select("id", "key", "kind", "value"), "user_id", "id long, key string, kind string, value double").drop("batch")
+
+
 @query()
 def token_buckets(spark, d):
     return monitor.token_bucket(_events(spark, d), 0.0001, 3)

@@ -37,6 +37,20 @@ SPOKEN_SQL = (
     f"select {K} as job_id, concat('give ', {pick(K, ONES)}, case when {K} % 2 = 0 then ' hundred ' else ' ' end, {pick(C, TENS)}, ' mg') as text, "
     f"cast(({K} % 9 + 1) * 100 + ({C} % 8 + 2) * 10 as bigint) as said from orders"
 )
+#: What a model might print about a note (whole, empty, broken, or without the keys), and what was found in it.
+OUTPUTS_SQL = (
+    "select job_id, text, case when job_id % 13 = 0 then 'no answer' when job_id % 17 = 0 then '{\"drugs\": [}' when job_id % 19 = 0 then 'so: {\"note\": 1}' else concat('so: {\"drugs\": [{\"name\": \"', substr(said, 1, length(said) - 1), "
+    "'\", \"dose\": ', case when job_id % 6 = 0 then '\"some\"' else cast(job_id % 20 * 50 as varchar(9)) end, ', \"unit\": \"', case when job_id % 4 = 0 then 'spoon' else 'mg' end, '\", \"frequency\": \"twice daily\", \"duration\": \"3 days\", \"source_sentence\": \"', "
+    "case when job_id % 3 = 0 then substr(text, 1, 50) when job_id % 3 = 1 then 'never said' else '' end, '\"}, {\"name\": \"newdrug\", \"dose\": \"ten\"}, 5, {\"dose\": 1}], \"vitals\": {\"sys\": \"', cast(100 + job_id % 60 as varchar(9)), '\", \"dia\": ', cast(60 + said_days as varchar(9)), "
+    "', \"temp\": \"101 degree\"}, \"symptoms_denied\": [\"cough\"], \"diagnosis\": {\"text\": \"flu\"}} ok') end as raw, "
+    "said, case when job_id % 2 = 0 then said_dose end as had_dose, case when job_id % 3 = 0 then 'mg' end as had_unit, case when job_id % 7 = 0 then 'daily' else '' end as had_frequency, job_id % 5 > 0 as had, "
+    f"case when job_id % 2 = 0 then 'BP 120 by 80' else 'pulse 80' end as vital, case when job_id % 9 = 0 then 'fever' end as dx from ({NOTES_SQL}) n"
+)
+
+
+def outputs(spark, sf_dir: str):
+    """A model's output on each note: job_id, text, raw, and had_ columns, vital and dx of what was found without it."""
+    return _run(spark, sf_dir, OUTPUTS_SQL)
 
 
 def notes(spark, sf_dir: str):
@@ -50,4 +64,5 @@ def spoken(spark, sf_dir: str):
 
 def _run(spark, sf_dir: str, sql: str):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    sql = sql.replace("{", "{{").replace("}", "}}")  # what is left in braces names a frame
     return spark.sql(sql.replace(" from orders", " from {orders}"), orders=orders)

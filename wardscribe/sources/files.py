@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 import wave
 import zipfile
 from collections.abc import Iterator
@@ -20,6 +22,14 @@ from ..operators.audio import error_code
 RATE = 16000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for streams and outboxes where driver and executors both reach: below spark.checkpoint.dir; where that is unset, a temporary one on a local master (tests), else an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}" if top else tempfile.mkdtemp(prefix="shared-")
+
+
 def recordings(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, rate, channels, duration, samples, error_code) of WAV files: mono floats at 16 kHz by the index before; bad files keep a code (422 if they cannot be decoded) instead of raising. Spark lists no empty files."""
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LATE = "10 minutes"
@@ -30,6 +30,24 @@ def alerts(events: DataFrame, width: str, slide: str, least_rate: float) -> Data
     return w.where(F.col("rate") < least_rate).select("kind", F.col("w.start").alias("since"), "n", F.round("rate", 6).alias("rate"))
 
 
+def sustained(events: DataFrame, bad: Column, width: str = "1 minute", for_s: int = 600) -> DataFrame:
+    """(kind, since, until, windows): times of `for_s` seconds or more in which every window of `width` is bad.
+
+    bad: over the columns n, rate (share of rows with value > 0), sum, most and
+    avg of a window. A window without rows ends such a time. Gaps and islands:
+    the start of a window less its rank among the bad ones of its kind is the
+    same along a run. Only the bad windows are sorted, one row each. A null
+    value counts as a row with the value 0.
+    """
+    v = F.coalesce("value", F.lit(0.0))
+    w = events.groupBy("kind", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.avg((v > 0).cast("double")).alias("rate"), F.sum(v).alias("sum"), F.max(v).alias("most"), F.avg(v).alias("avg"))
+    start, end = (F.unix_micros(F.col(f"w.{c}").cast("timestamp")) for c in ("start", "end"))
+    b = w.where(bad).withColumn("island", start - (end - start) * F.row_number().over(Window.partitionBy("kind").orderBy("w.start")))
+    runs = b.groupBy("kind", "island").agg(F.min("w.start").alias("since"), F.max("w.end").alias("until"), F.count("*").alias("windows"))
+    long = F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("since").cast("timestamp")) >= for_s * 1_000_000
+    return runs.where(long).select("kind", "since", "until", "windows")
+
+
 def stage_latency(events: DataFrame, width: str = "1 hour") -> DataFrame:
     p = F.percentile_approx("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), 10000)
     w = watermarked(events).groupBy("kind", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), p.alias("p"))
@@ -84,27 +102,36 @@ def _seconds(events: DataFrame, *more: str) -> DataFrame:
     return events.select(F.col("key").cast("string").alias("key"), t.alias("t"), *more)
 
 
-def token_bucket(events: DataFrame, rate: float = 1.0, burst: float = 10.0) -> DataFrame:
-    """(key, allowed, refused) by token bucket over each key's calls in time order."""
+BUCKET_CALL = "key string, id long, allowed boolean, retry_after double"
+BREAKER_CALL = "key string, id long, state string, passed boolean"
+
+
+def bucket_step(rate: float, burst: float) -> Callable:
+    """A call takes a token; tokens come back at `rate` a second up to `burst`. State: tokens, time of the last call (None: full)."""
 
     def step(s, row):
-        key, tokens, last, yes, no = s
         if row is None:
-            return s, (key, yes, no)
+            return s, None
+        tokens, last = s
         tokens = burst if last is None else min(burst, tokens + (row.t - last) * rate)
-        ok = tokens >= 1
-        return (key, tokens - ok, row.t, yes + ok, no + (not ok)), None
+        ok = bool(tokens >= 1)
+        return (tokens - ok, row.t), (row.key, row.id, ok, 0.0 if ok else round((1 - tokens) / rate, 6))
 
-    return folded(_seconds(events), "key", ["t"], lambda k: (k, burst, None, 0, 0), step, "key string, allowed long, refused long")
+    return step
 
 
-def breaker(calls: DataFrame, failures: int = 5, within_s: float = 60.0, wait_s: float = 30.0) -> DataFrame:
-    """(key, id, state, passed) of calls(ts, key, id, ok): a circuit breaker for each provider.
+def bucket_calls(events: DataFrame, rate: float = 1.0, burst: float = 10.0) -> DataFrame:
+    """(key, id, allowed, retry_after) of events(ts, key, id): a token bucket for each key, seconds until the next token for refused calls."""
+    return folded(_seconds(events, "id"), "key", ["t", "id"], lambda k: (burst, None), bucket_step(rate, burst), BUCKET_CALL)
 
-    Closed until `failures` failed calls lie within `within_s`; then open, and
-    calls are refused; after `wait_s` the next call is a trial that closes it
-    or opens it again. A null ok is a failure.
-    """
+
+def token_bucket(events: DataFrame, rate: float = 1.0, burst: float = 10.0) -> DataFrame:
+    """(key, allowed, refused): each key's calls by what its token bucket made of them."""
+    return bucket_calls(events, rate, burst).groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
+
+
+def breaker_step(failures: int, within_s: float, wait_s: float) -> Callable:
+    """State: since when the breaker is open (None: closed), times of failed calls."""
 
     def step(s, row):
         opened, failed = s
@@ -118,8 +145,18 @@ def breaker(calls: DataFrame, failures: int = 5, within_s: float = 60.0, wait_s:
             failed = tuple(t for t in failed if row.t - t <= within_s) + (row.t,)
         return ((row.t, ()) if len(failed) >= failures else (None, failed)), (row.key, row.id, "closed", True)
 
+    return step
+
+
+def breaker(calls: DataFrame, failures: int = 5, within_s: float = 60.0, wait_s: float = 30.0) -> DataFrame:
+    """(key, id, state, passed) of calls(ts, key, id, ok): a circuit breaker for each provider.
+
+    Closed until `failures` failed calls lie within `within_s`; then open, and
+    calls are refused; after `wait_s` the next call is a trial that closes it
+    or opens it again. A null ok is a failure.
+    """
     c = _seconds(calls, "id", F.coalesce("ok", F.lit(False)).alias("ok"))
-    return folded(c, "key", ["t", "id"], lambda k: (None, ()), step, "key string, id long, state string, passed boolean")
+    return folded(c, "key", ["t", "id"], lambda k: (None, ()), breaker_step(failures, within_s, wait_s), BREAKER_CALL)
 
 
 def publish_conflicts(publishes: DataFrame) -> DataFrame:
