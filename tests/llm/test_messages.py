@@ -1,6 +1,7 @@
 """op7 and op10: rows that chunks exchange are in proportion to the text, whatever the number of chunks; groups are opened by their bound."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def texts(spark, n):
 def test_anchor_rows_grow_in_proportion(spark):
     def sent(n, chunks):
         d = texts(spark, n).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-        return d.groupBy("chunk").applyInArrow(substrings._anchors, "chunk long, a long").count()
+        return d.select("chunk", "text").mapInArrow(substrings._anchors, "chunk long, a long").count()
 
     few, many = sent(100, 10), sent(10_000, 1000)
     assert 90 * few <= many <= 110 * few
@@ -56,3 +57,22 @@ def test_only_qualifying_groups_are_opened(spark):
     near = {(a, b) for a in value for b in value if a // 20 < b // 20 and 100 * len(value[a] & value[b]) >= 85 * len(value[a] | value[b])}
     assert near <= pairs and all(a // 20 != b // 20 for a, b in pairs)
     assert near and len(pairs) <= 15 * 20
+
+
+def test_template_documents_do_not_meet(spark):
+    """Documents of 120 shared and 12 own words, each a group: what the joins make grows with their number, not with its square."""
+
+    def made(n):
+        shared = F.transform(F.sequence(F.lit(1), F.lit(120)), lambda k: F.concat(F.lit("s"), k))
+        own = F.expr("transform(sequence(1, 12), k -> concat('d', id, 'w', k))")
+        d = spark.range(n).select(F.col("id").alias("doc"), F.array_join(F.concat(shared, own), " ").alias("text")).toPandas()
+        s = jaccard._Sets(pa.chunked_array([d["text"].tolist()], pa.string()), 4)
+        rows = [(int(i), int(s.n[i]), bytearray(jaccard.pack48(s.tokens[s.at[i] : s.at[i + 1]]))) for i in range(n)]
+        sets = spark.createDataFrame(rows, "doc long, n long, tokens binary")
+        t = jaccard._prefix_rows(sets, 85).withColumn("grp", F.col("doc")).where("pos <= n - ceil(n * 85 / 100)")
+        sizes = jaccard._rooms(t, 85).groupBy("token", "own", "partner").agg(F.count("*").alias("c"))
+        meets = sizes.select("token", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("c").alias("other")).join(sizes, ["token", "own", "partner"])
+        return meets.agg(F.sum(F.col("c") * F.col("other"))).first()[0] or 0, jaccard._group_pairs(sets, spark.createDataFrame([], "node long, component long"), 85).count()
+
+    few, many = made(100), made(1600)
+    assert many[0] <= 20 * max(few[0], 100) and few[1] == many[1] == 0

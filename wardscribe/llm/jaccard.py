@@ -11,7 +11,8 @@
 4. Prefixes are taken again with rare tokens first. The matrix has a row for
    each prefix token of each group: the group's token union. A set's tokens
    that a group's union has bound what it shares with any member; only groups
-   where the bound reaches the tenth, and whose sizes fit, are opened.
+   where the bound reaches the tenth, and whose sizes fit, are opened. The bound
+   is taken for groups that the set meets at an early enough token.
 5. A set is compared exactly with those members of an opened group that share
    a prefix token with it and pass the size and position bounds. Pairs inside a
    group are never formed: their links are known.
@@ -24,6 +25,7 @@ counts, so the order costs a fixed size; any order gives the same links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from .session import cut
 from .substrings import chunks, shared_rows
 from .textkit import U, Words, mix, pack48, slices, tidy, unpack48
 
-CHUNK_DOCS, CHUNK_BYTES, BANDS, ROWS, SKETCH = 2000, 8_000_000, 4, 3, 2**18
+CHUNK_DOCS, CHUNK_BYTES, BANDS, ROWS, SKETCH, CLASS = 2000, 8_000_000, 4, 3, 2**18, 1.05
 
 
 class _Sets:
@@ -218,6 +220,30 @@ def _prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("doc", "n", "tokens").mapInArrow(rows, "doc long, n long, pos long, token long")
 
 
+def _rooms(first: DataFrame, percent: int) -> DataFrame:
+    """first with own (the class of a set's size) and partner: the classes of sizes for which its token's place leaves room for a link.
+
+    Two sets of n and m whose first common token has the places i and j share
+    min(n - i, m - j) tokens at most, and need percent / (100 + percent) of n + m.
+    Common tokens come late, where hardly a class is left, so sets that have
+    nothing but them in common do not meet, however many they are.
+    """
+    step = math.log(CLASS)
+    size_class = lambda n: F.floor(F.log(n) / step).cast("int")
+    n = F.col("n")
+    reach = F.sequence(size_class(F.greatest(n * percent / 100, F.lit(1.0))), size_class(n * 100 / percent))
+    least = F.pow(F.lit(CLASS), F.col("partner")) * 0.999  # no size of the class is below
+    return first.withColumn("own", size_class(n)).withColumn("partner", F.explode(reach)).where((100 + percent) * (n - F.col("pos")) >= percent * (n + least))
+
+
+def _met(first: DataFrame, percent: int) -> DataFrame:
+    """(doc, n, other): groups that a set meets at a token and by both classes."""
+    rows = _rooms(first, percent)
+    groups = rows.groupBy("token", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = f"grp < other and 100 * n >= {percent} * least and 100 * most >= {percent} * n"
+    return rows.join(groups, ["token", "own", "partner"]).where(fits).select("doc", "n", "other").distinct()
+
+
 def _group_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of sets of different groups that may link, from the groups that each set opens."""
     need = F.ceil(F.col("n") * percent / 100)
@@ -227,10 +253,10 @@ def _group_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     t = t.join(several, "token", "left_semi")
     some = t.groupBy("doc").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= enough).select("doc")
     t = cut(t.join(some, "doc", "left_semi"))
-    matrix = t.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "other")
-    fits = f"grp < other and 100 * n >= {percent} * least and 100 * most >= {percent} * n"
-    opened = t.select("doc", "grp", "n", "token").join(matrix, "token").where(fits).groupBy("doc", "n", "other").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("doc", "other")
     first = t.where(F.col("pos") <= F.col("n") - need)  # linked sets share a token here
+    met = _met(first, percent)
+    union = t.select("token", F.col("grp").alias("other")).distinct()
+    opened = met.join(t.select("doc", "token"), "doc").join(union, ["token", "other"]).groupBy("doc", "n", "other").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("doc", "other")
     x = first.join(opened, "doc").select(F.col("doc").alias("a"), F.col("other").alias("grp"), "token", F.col("n").alias("an"), F.col("pos").alias("i"))
     y = first.select("grp", "token", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("j"))
     near = f"100 * least(an, bn) >= {percent} * greatest(an, bn) and {100 + percent} * least(an - i, bn - j) >= {percent} * (an + bn)"

@@ -5,12 +5,12 @@ A window is 13 consecutive words. Words at positions p with p mod 7 in
 so of two equal windows, wherever they lie, at least one anchor lies at the
 same place inside both. A window whose three anchors occur in one document
 only is therefore unique and is never looked at again; the others are extended
-to the full 13 words, hashed with 96 bits beside their bucket and compared.
+to the full 13 words, hashed with 95 bits and compared.
 
 Documents are dealt into chunks by a hash, some CHUNK_DOCS documents and
-CHUNK_BYTES of text each. A chunk sends each distinct anchor as one row, sorted
-with those of the other chunks, and hears which of them another chunk has; it
-then sends each distinct candidate window as one row with the smallest doc_id
+CHUNK_BYTES of text each. The tasks that read the texts send the anchors of
+each chunk, a row for each in a slice of texts, which are sorted; a chunk hears
+which of its anchors occur in more than one row. It then sends each distinct candidate window as one row with the smallest doc_id
 that has it here, and hears for which another chunk has a smaller one. Rows
 are in proportion to the words whatever the number of chunks, sorts spill, and
 a passage that a third of all documents hold is one row a chunk.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import cut
-from .textkit import U, Words, tidy
+from .textkit import U, Words, slices, tidy
 
 WINDOW, PERIOD, COVER, ANCHOR = 13, 7, (0, 1, 3), 7
 CHUNK_DOCS, CHUNK_BYTES = 2000, 8_000_000
@@ -88,9 +88,18 @@ def _chunk_of(table: pa.Table) -> int:
 
 
 @tidy
-def _anchors(table: pa.Table) -> pa.Table:
-    c = _Chunk(table)
-    return pa.table({"chunk": pa.array(np.full(len(c.anchors), _chunk_of(table))), "a": pa.array(c.anchors)})
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each chunk, distinct within a slice of a task's rows; texts stay where they are."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            w = Words(part["text"])
+            at = w.windows(ANCHOR)
+            at = at[np.isin((at - w.first[w.doc[at]]) % PERIOD, COVER)]
+            chunk, a = part["chunk"].to_numpy()[w.doc[at]], w.roll(at, ANCHOR, 1).view(np.int64)
+            order = np.lexsort((a, chunk))
+            chunk, a = chunk[order], a[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (chunk[1:] != chunk[:-1])) if len(a) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[new]), pa.array(a[new])], ["chunk", "a"])
 
 
 def _told(marks: pa.Table, windows: bool):
@@ -110,7 +119,7 @@ def _windows(table: pa.Table, marks: pa.Table) -> pa.Table:
 
 
 def shared_rows(rows: DataFrame, by: str, other: str) -> DataFrame:
-    """The distinct rows (by, other) whose `by` another row has too."""
+    """The rows (by, other) whose `by` another row has too, repeated ones included."""
     w = Window.partitionBy(by).orderBy(other)
     return rows.withColumn("_b", F.lag(other).over(w)).withColumn("_n", F.lead(other).over(w)).where("_b is not null or _n is not null").drop("_b", "_n")
 
@@ -169,7 +178,7 @@ def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] if texts else []
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks(d, chunk_docs, chunk_bytes))))
-    anchors = d.select("chunk", "doc_id", "text").groupBy("chunk").applyInArrow(_anchors, "chunk long, a long")
+    anchors = d.select("chunk", "text").mapInArrow(_anchors, "chunk long, a long")
     m1 = cut(shared_rows(anchors, "a", "chunk")).select("chunk", "a", F.lit(None).cast("long").alias("c"))
     windows = d.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(m1.groupBy("chunk")).applyInArrow(_windows, "chunk long, a long, c long, low long")
     least = F.min("low").over(Window.partitionBy("a", "c"))
