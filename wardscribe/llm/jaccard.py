@@ -38,7 +38,7 @@ from .session import cut
 from .substrings import chunks, shared_rows
 from .textkit import U, Words, mix, pack48, slices, tidy, unpack48
 
-CHUNK_DOCS, CHUNK_BYTES, BANDS, ROWS, SKETCH, CLASS = 2000, 8_000_000, 4, 3, 2**18, 1.05
+CHUNK_DOCS, CHUNK_BYTES, BANDS, ROWS, SKETCH, CLASS = 2000, 8_000_000, 4, 3, 2**18, 1.02
 
 
 class _Sets:
