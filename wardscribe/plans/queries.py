@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import patterns as P
+from ..functions import phonetic
 from ..functions.normalize import AFTER_NUMBERS, BEFORE_NUMBERS, NUMBER_RUN, WORD_VALUE, lang_tag, normalize, number_words
 from ..operators import audio, candidates, evaluate, extract, merge, ocr, provenance, slots, validate
 from ..sources import files
@@ -637,11 +638,59 @@ def segment_languages(spark, d):
     return s.groupBy("lang", (F.length("text") < 200).alias("own")).agg(F.count("*").alias("n"))
 
 
+TERMS = sorted({w for d in L.DRUGS for n in (d[0], *d[1]) for w in n.split()} | set(L.UNITS) | {"mg", "mcg", "ml", "g", "u"})
+
+
 @query()
 def word_error_rate(spark, d):
-    n = normalize(_notes(spark, d))
-    x = n.select("lang", evaluate.word_distance("text", "normalized_en").alias("e"), F.size(F.split("text", r"\s+")).alias("w"))
-    return x.groupBy("lang").agg(F.sum("e").alias("errors"), F.sum("w").alias("words"), F.round(F.sum("e") / F.sum("w"), 6).alias("wer"))
+    """What normalization changes in the dictation, as errors against the text as said."""
+    return evaluate.error_rates(evaluate.word_errors(normalize(_notes(spark, d)).select("lang", "text", "normalized_en"), "text", "normalized_en", TERMS))
+
+
+_SAID = ["give", "patient", "azithral", "insulin", "warfarin", "paracetamol", "100", "500", "650", "mg", "mcg", "once", "twice", "daily", "for", "days", "with", "fever", "cough", "um"]
+_REF = f"concat_ws(' ', 'give patient', {synth.pick('o_orderkey', _SAID[2:6])}, {synth.pick('coalesce(o_custkey, 0)', _SAID[6:9])}, {synth.pick('o_orderkey + 1', ['mg', 'mcg'])}, {synth.pick('coalesce(o_custkey, 0) + 2', ['once', 'twice'])}, 'daily for days', case when o_orderkey % 2 = 0 then 'with fever' else 'with cough' end)"
+_HEARD = "case job_id % 7 when 0 then replace(ref, '500', '650') when 1 then concat('um ', ref) when 2 then replace(ref, ' daily', '') when 3 then replace(replace(ref, 'azithral', 'insulin'), ' mg', ' mcg') when 4 then concat(ref, ' um fever warfarin') when 5 then replace(ref, 'give patient', 'patient give um') else ref end"
+_SPOKEN = f"select job_id, lang, ref, {_HEARD} as hyp from (select o_orderkey as job_id, {synth.pick('o_orderkey', ['en', 'hi', 'ta'])} as lang, {_REF} as ref from orders) r"
+_CODED = "array_to_string(list_transform(string_split({}, ' '), lambda w: chr(64 + list_position([" + ", ".join(f"'{w}'" for w in _SAID) + "], w)::int)), '')"
+
+
+@query(f"with t as ({_SPOKEN}), e as (select lang, levenshtein({_CODED.format('ref')}, {_CODED.format('hyp')}) as errors, len(string_split(ref, ' ')) as words, len(list_filter(string_split(ref, ' '), lambda w: list_contains([{', '.join(repr(w) for w in _SAID[2:11])}], w))) as medical_words from t) select coalesce(lang, 'all') as lang, sum(errors)::bigint as errors, sum(words)::bigint as words, round(sum(errors) / sum(words), 6)::double as wer, sum(medical_words)::bigint as medical_words from e group by grouping sets ((lang), ())")
+def transcript_errors(spark, d):
+    """Word errors of heard sentences against reference transcripts; the medical ones are compared in the tests."""
+    t = spark.sql(_SPOKEN.replace("from orders", "from {orders}"), orders=table(spark, d, "orders"))
+    return evaluate.error_rates(evaluate.word_errors(t, "ref", "hyp", TERMS)).drop("medical_errors", "medical_wer")
+
+
+_FIELDS = "select o_orderkey as job_id, case o_orderkey % 3 when 0 then 'en' when 1 then 'hi' else 'ta' end as lang, case o_orderkey % 5 when 0 then 'drug' when 1 then 'dose' when 2 then 'diagnosis' when 3 then 'symptom' end as kind, case when o_orderkey % 11 > 0 then o_orderstatus end as value, case when o_orderkey % 13 > 0 then o_orderstatus when o_orderkey % 2 = 0 then 'X' end as gold, case when o_custkey % 4 = 0 then 'RED' when o_custkey % 4 = 1 then 'YELLOW' else 'GREEN' end as color, case when o_orderkey % 17 > 0 then o_orderstatus else 'Z' end as final from orders"
+
+
+@query(f"with f as ({_FIELDS}), x as (select *, value is not distinct from gold as ok from f) select coalesce(lang, 'all') as lang, count(*) as fields, round(avg(ok::int), 6)::double as accuracy, count(*) filter (not ok and kind in ('drug', 'dose', 'diagnosis', 'allergy') and color = 'GREEN') as critical, round(count(*) filter (not ok and kind in ('drug', 'dose', 'diagnosis', 'allergy') and color = 'GREEN') / count(*), 6)::double as critical_rate, round(avg((color != 'GREEN')::int), 6)::double as review_rate, round(avg((value is distinct from final)::int), 6)::double as correction_rate from x group by grouping sets ((lang), ())")
+def field_rates(spark, d):
+    """Accuracy, dangerous slips, review and correction rates by language and over all."""
+    return evaluate.field_rates(spark.sql(_FIELDS.replace("from orders", "from {orders}"), orders=table(spark, d, "orders")))
+
+
+@query("with w as (select doc_id, regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1) as w from documents), e as (select doc_id, p, i, w[i] = w[i - p] as same from (select doc_id, w, p, unnest(range(p + 1, len(w) + 1)) as i from w, range(1, 4) r(p))), g as (select doc_id, p, i - row_number() over (partition by doc_id, p order by i) as island from e where same), r as (select doc_id, p, max(n) as n from (select doc_id, p, island, count(*) as n from g group by all) group by all), m as (select w.doc_id, r0.p, case when w is null then null when len(w) < r0.p then 0 else coalesce(n, 0) // r0.p + 1 end::int as copies from w cross join range(1, 4) r0(p) left join r on r.doc_id = w.doc_id and r.p = r0.p) select doc_id, max(copies) filter (p = 1) as copies_1, max(copies) filter (p = 2) as copies_2, max(copies) filter (p = 3) as copies_3, coalesce(max(copies) >= 3, false) as stuck from m group by doc_id")
+def repeated_words(spark, d):
+    """Runs of a repeated word, pair or triple in every document, and whether one is said three times on end."""
+    t = table(spark, d, "documents")
+    r = phonetic.repeats(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    return t.select("doc_id", r.alias("r")).select("doc_id", *[F.col("r")[k].alias(f"copies_{k + 1}") for k in range(3)], F.coalesce(F.array_max("r") >= 3, F.lit(False)).alias("stuck"))
+
+
+def _key_sql(column: str) -> str:
+    import re
+
+    x = f"lower({column})"
+    for pattern, to in phonetic.SOUNDS:
+        x = f"regexp_replace({x}, '{pattern}', '{re.sub(r'[$]([0-9])', lambda m: chr(92) + m[1], to)}', 'g')"
+    return x
+
+
+@query(f"with {DRUGS}, s as (select distinct said from said), n as (select distinct canonical as name from aliases), k as (select w, array_to_string(list_filter(string_split(x, ''), lambda c, i: i = 1 or c != string_split(x, '')[i - 1]), '') as k from (select w, {_key_sql('w')} as x from (select said as w from s union select name from n))), p as (select said, name, a.k as a, b.k as b from s join k a on a.w = said, n join k b on b.w = name where a.k != '' and b.k != ''), r as (select said, name, levenshtein(a, b)::int as distance, row_number() over (partition by said order by levenshtein(a, b), levenshtein(lower(said), lower(name)), name)::int as rank from p where levenshtein(a, b) <= 2) select *, case when distance < 2 and said != name then 'AMBIGUOUS_DRUG' end as code from r where rank <= 3")
+def ambiguous_names(spark, d):
+    """Drug names that sound like what was said in the notes, met by phonetic key."""
+    return phonetic.sound_alikes(extract.drug_mentions(_sents(spark, d)), L.drugs(spark).select("name"))
 
 
 # ---- scans and recordings
