@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,13 @@ def key(name: Column) -> Column:
     x = F.lower(name)
     for pattern, to in SOUNDS:
         x = F.regexp_replace(x, pattern, to)
-    letters = F.split(x, "")
-    once = F.filter(letters, lambda c, i: (i == 0) | (c != F.get(letters, i - 1)))
-    return F.array_join(once, "")
+    once = lambda letters: F.filter(letters, lambda c, i: (i == 0) | (c != F.get(letters, i - 1)))
+    return F.array_join(_once(F.split(x, ""), once), "")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed a single time, and not for each element of a lambda inside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _variants(k: Column, edits: int) -> Column:
@@ -58,13 +64,13 @@ def repeats(words: Column, longest: int = 3) -> Column:
     the length, is the number of further copies. Null gives null, no words zeros.
     """
 
-    def copies(size: int) -> Column:
-        same = F.transform(words, lambda w, i: (i >= size) & F.coalesce(w == F.get(words, i - size), F.lit(False)))
+    def copies(ws: Column, size: int) -> Column:
+        same = F.transform(ws, lambda w, i: (i >= size) & F.coalesce(w == F.get(ws, i - size), F.lit(False)))
         start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
         step = lambda s, x: F.struct(F.when(x, s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(x, s["now"] + 1).otherwise(0)).alias("most"))
-        return F.aggregate(same, start, step, lambda s: F.when(F.size(words) < size, 0).otherwise(F.floor(s["most"] / size) + 1).cast("int"))
+        return F.aggregate(same, start, step, lambda s: F.when(F.size(ws) < size, 0).otherwise(F.floor(s["most"] / size) + 1).cast("int"))
 
-    return F.when(words.isNotNull(), F.array(*[copies(k) for k in range(1, longest + 1)]))
+    return _once(words, lambda ws: F.when(ws.isNotNull(), F.array(*[copies(ws, k) for k in range(1, longest + 1)])))
 
 
 def is_stuck(text: Column, least: int = 3, longest: int = 3) -> Column:
