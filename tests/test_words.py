@@ -104,3 +104,20 @@ def test_repeats(spark):
     assert all(r.r == plain_repeats(texts[r.id], 4) for r in got)
     said = [("thank you Thank you, thank YOU",), ("thank you thank you",), ("no no no",), (None,), ("",)]
     assert [r[0] for r in spark.createDataFrame(said, "t string").coalesce(1).select(phonetic.is_stuck(F.col("t"))).collect()] == [True, False, True, False, False]
+
+
+def test_guesses_are_those_of_the_standard_library():
+    """The values that the SQL of fuzzy names takes as given, by difflib over the dictionary, for all words of the notes."""
+    import re
+    from difflib import SequenceMatcher
+
+    from wardscribe.plans import synth
+    from wardscribe.plans.queries import GUESSED
+
+    forms = {a: d[0] for d in L.DRUGS for a in (d[0], *d[1])}
+    want = {}
+    for w in sorted({w.lower() for part in synth.PARTS for w in re.findall("[A-Za-z]+", part)} - set(forms)):
+        score, name = min((-SequenceMatcher(None, w, form).ratio(), name) for form, name in forms.items())
+        if -score >= (0.55 if len(w) >= 8 else 0.6):
+            want[w] = (name, -score)
+    assert want == GUESSED

@@ -13,7 +13,7 @@ def pick(value: str, options: list[str]) -> str:
 
 
 K, C = "o_orderkey", "coalesce(o_custkey, 0)"
-DRUG = pick(f"{K} + {C}", ["paracetamol", "azithral", "amoxicillin", "brufen", "insulin", "levothyroxine", "metformin", "sunshine", "asitromaisin", "warfarin"])
+DRUG = pick(f"{K} + {C}", ["paracetamol", "azithral", "amoxicillin", "brufen", "insulin", "levothyroxine", "metformin", "sunshine", "asitromaisin", "warfarin", "paracitamol", "metfornin", "ibuprophen"])
 DRUG2 = pick(f"{K} * 3", ["cetirizine", "omeprazole", "dolo"])
 UNIT = pick(f"{K}", ["mg", "milligrams", "mcg", "mg", "mg"])
 FREQ = pick(f"{C}", ["once daily", "twice daily", "TDS", "twice a day", "every 8 hours", ""])
