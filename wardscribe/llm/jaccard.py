@@ -239,8 +239,8 @@ def _rooms(first: DataFrame, percent: int) -> DataFrame:
 def _met(first: DataFrame, percent: int) -> DataFrame:
     """(doc, n, other): groups that a set meets at a token and by both classes."""
     rows = _rooms(first, percent)
-    groups = rows.groupBy("token", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = f"grp < other and 100 * n >= {percent} * least and 100 * most >= {percent} * n"
+    groups = rows.groupBy("token", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"))
+    fits = f"grp < other and 100 * n >= {percent} * least and 100 * most >= {percent} * n and {100 + percent} * least(n - pos, most - first) >= {percent} * (n + least)"
     return rows.join(groups, ["token", "own", "partner"]).where(fits).select("doc", "n", "other").distinct()
 
 
