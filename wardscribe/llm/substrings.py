@@ -180,9 +180,10 @@ def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks(d, chunk_docs, chunk_bytes))))
     anchors = d.select("chunk", "text").mapInArrow(_anchors, "chunk long, a long")
     m1 = cut(shared_rows(anchors, "a", "chunk")).select("chunk", "a", F.lit(None).cast("long").alias("c"))
-    windows = d.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(m1.groupBy("chunk")).applyInArrow(_windows, "chunk long, a long, c long, low long")
+    # one plan for windows and removal, and equal inputs: Spark shuffles the texts by chunk once and reads that shuffle twice
+    windows = d.groupBy("chunk").cogroup(m1.groupBy("chunk")).applyInArrow(_windows, "chunk long, a long, c long, low long")
     least = F.min("low").over(Window.partitionBy("a", "c"))
-    m2 = cut(windows.withColumn("least", least).where("least < low").select("chunk", "a", "c"))
+    m2 = windows.withColumn("least", least).where("least < low").select("chunk", "a", "c")
 
     @tidy
     def final(table: pa.Table, marks: pa.Table) -> pa.Table:
