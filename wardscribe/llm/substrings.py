@@ -10,8 +10,9 @@ to the full 13 words, hashed with 95 bits and compared.
 Documents are dealt into chunks by a hash, some CHUNK_DOCS documents and
 CHUNK_BYTES of text each. The tasks that read the texts send the anchors of
 each chunk, a row for each in a slice of texts, which are sorted; a chunk hears
-which of its anchors occur in more than one row. It then sends each distinct candidate window as one row with the smallest doc_id
-that has it here, and hears for which another chunk has a smaller one. Rows
+once which of its anchors another chunk has. It then sends each distinct window
+with such an anchor as one row with the smallest doc_id that has it here, and
+hears for which another chunk has a smaller one. Rows
 are in proportion to the words whatever the number of chunks, sorts spill, and
 a passage that a third of all documents hold is one row a chunk.
 """
@@ -47,15 +48,17 @@ class _Chunk:
         self.at = at[np.isin(place % PERIOD, COVER)]
         self.anchors, self.which = np.unique(w.roll(self.at, ANCHOR, 1).view(np.int64), return_inverse=True)
 
-    def candidates(self, told: np.ndarray) -> None:
-        """Keeps the windows that hold an anchor which other documents hold; told: anchors of other chunks."""
+    def candidates(self, told: np.ndarray, inside: bool = True) -> None:
+        """Keeps the windows that hold an anchor which other documents hold; told: anchors of other chunks; inside: this chunk's documents count too."""
         w = self.words
-        low = np.full(len(self.anchors), NO_ID)
-        high = np.full(len(self.anchors), -NO_ID)
-        owner = self.ids[w.doc[self.at]]
-        np.minimum.at(low, self.which, owner)
-        np.maximum.at(high, self.which, owner)
-        shared = (low < high) | np.isin(self.anchors, told)
+        shared = np.isin(self.anchors, told)
+        if inside:
+            low = np.full(len(self.anchors), NO_ID)
+            high = np.full(len(self.anchors), -NO_ID)
+            owner = self.ids[w.doc[self.at]]
+            np.minimum.at(low, self.which, owner)
+            np.maximum.at(high, self.which, owner)
+            shared |= low < high
         held = np.zeros(len(w.starts) + 1, np.int64)
         held[self.at[shared[self.which]]] = 1
         run = np.concatenate(([0], np.cumsum(held)))
@@ -114,7 +117,7 @@ def _windows(table: pa.Table, marks: pa.Table) -> pa.Table:
     if not table.num_rows:
         return pa.table({n: pa.array([], pa.int64()) for n in ("chunk", "a", "c", "low")})
     c = _Chunk(table)
-    c.candidates(_told(marks, False))
+    c.candidates(_told(marks, False), inside=False)  # any place of a window that another chunk has holds an anchor that it has too
     return pa.table({"chunk": pa.array(np.full(len(c.a), _chunk_of(table))), "a": pa.array(c.a), "c": pa.array(c.c), "low": pa.array(c.wlow)})
 
 
@@ -124,6 +127,13 @@ def shared_rows(rows: DataFrame, by: str, other: str) -> DataFrame:
     return rows.withColumn("_b", F.lag(other).over(w)).withColumn("_n", F.lead(other).over(w)).where("_b is not null or _n is not null").drop("_b", "_n")
 
 
+def _elsewhere(anchors: DataFrame) -> DataFrame:
+    """Each (chunk, a) once whose anchor another chunk has: a chunk's last row tells, by the first chunk of all and the next."""
+    w = Window.partitionBy("a").orderBy("chunk")
+    rows = anchors.withColumn("_next", F.lead("chunk").over(w)).withColumn("_first", F.first("chunk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where("_next <> chunk or (_next is null and _first <> chunk)").select("chunk", "a")
+
+
 def _digest(w: Words, gone: np.ndarray) -> Iterator[tuple[int, int, str]]:
     keep = np.flatnonzero(~gone)
     buf, tails = w.buf.copy(), w.ends[keep[:-1]][w.doc[keep[:-1]] == w.doc[keep[1:]]]
@@ -179,7 +189,7 @@ def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks(d, chunk_docs, chunk_bytes))))
     anchors = d.select("chunk", "text").mapInArrow(_anchors, "chunk long, a long")
-    m1 = cut(shared_rows(anchors, "a", "chunk")).select("chunk", "a", F.lit(None).cast("long").alias("c"))
+    m1 = cut(_elsewhere(anchors)).select("chunk", "a", F.lit(None).cast("long").alias("c"))
     # one plan for windows and removal, and equal inputs: Spark shuffles the texts by chunk once and reads that shuffle twice
     windows = d.groupBy("chunk").cogroup(m1.groupBy("chunk")).applyInArrow(_windows, "chunk long, a long, c long, low long")
     least = F.min("low").over(Window.partitionBy("a", "c"))
