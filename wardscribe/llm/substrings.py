@@ -12,7 +12,8 @@ CHUNK_BYTES of text each. The tasks that read the texts send the anchors of
 each chunk, a row for each in a slice of texts, which are sorted; a chunk hears
 once which of its anchors another chunk has. It then sends each distinct window
 with such an anchor as one row with the smallest doc_id that has it here, and
-hears for which another chunk has a smaller one. Rows
+hears for which another chunk has a smaller one. Words go
+that such a window covers, or one that an earlier document of the chunk has. Rows
 are in proportion to the words whatever the number of chunks, sorts spill, and
 a passage that a third of all documents hold is one row a chunk.
 """
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,22 +48,26 @@ class _Chunk:
         self.at = at[np.isin(place % PERIOD, COVER)]
         self.anchors, self.which = np.unique(w.roll(self.at, ANCHOR, 1).view(np.int64), return_inverse=True)
 
-    def candidates(self, told: np.ndarray, inside: bool = True) -> None:
-        """Keeps the windows that hold an anchor which other documents hold; told: anchors of other chunks; inside: this chunk's documents count too."""
+    def candidates(self, anchors: np.ndarray | None = None, windows: np.ndarray | None = None) -> None:
+        """Keeps the windows that hold one of the anchors of other chunks or, without these, one that two documents here hold; and the given windows (first hashes)."""
         w = self.words
-        shared = np.isin(self.anchors, told)
-        if inside:
+        if anchors is not None:
+            shared = np.isin(self.anchors, anchors)
+        else:
             low = np.full(len(self.anchors), NO_ID)
             high = np.full(len(self.anchors), -NO_ID)
             owner = self.ids[w.doc[self.at]]
             np.minimum.at(low, self.which, owner)
             np.maximum.at(high, self.which, owner)
-            shared |= low < high
+            shared = low < high
         held = np.zeros(len(w.starts) + 1, np.int64)
         held[self.at[shared[self.which]]] = 1
         run = np.concatenate(([0], np.cumsum(held)))
         at = w.windows(WINDOW)
-        self.wat = at[run[at + WINDOW - ANCHOR + 1] > run[at]]
+        keep = run[at + WINDOW - ANCHOR + 1] > run[at]
+        if windows is not None:
+            keep |= np.isin(w.roll(at, WINDOW, 2).view(np.int64), windows)
+        self.wat = at[keep]
         a, c = w.roll(self.wat, WINDOW, 2).view(np.int64), (w.roll(self.wat, WINDOW, 3) >> U(33)).astype(np.int64)
         order = np.lexsort((c, a))
         new = np.ones(len(order), bool)
@@ -105,11 +109,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(chunk[new]), pa.array(a[new])], ["chunk", "a"])
 
 
-def _told(marks: pa.Table, windows: bool):
-    kind = pa.compute.is_valid(marks["c"]) if windows else pa.compute.is_null(marks["c"])
-    m = marks.filter(kind)
-    a = m["a"].to_numpy().astype(np.int64)
-    return (a, m["c"].to_numpy().astype(np.int64)) if windows else a
+def _column(marks: pa.Table, name: str) -> np.ndarray:
+    return marks[name].to_numpy().astype(np.int64)
 
 
 @tidy
@@ -117,7 +118,7 @@ def _windows(table: pa.Table, marks: pa.Table) -> pa.Table:
     if not table.num_rows:
         return pa.table({n: pa.array([], pa.int64()) for n in ("chunk", "a", "c", "low")})
     c = _Chunk(table)
-    c.candidates(_told(marks, False), inside=False)  # any place of a window that another chunk has holds an anchor that it has too
+    c.candidates(anchors=_column(marks, "a"))  # any place of a window that another chunk has holds an anchor that it has too
     return pa.table({"chunk": pa.array(np.full(len(c.a), _chunk_of(table))), "a": pa.array(c.a), "c": pa.array(c.c), "low": pa.array(c.wlow)})
 
 
@@ -189,7 +190,7 @@ def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks(d, chunk_docs, chunk_bytes))))
     anchors = d.select("chunk", "text").mapInArrow(_anchors, "chunk long, a long")
-    m1 = cut(_elsewhere(anchors)).select("chunk", "a", F.lit(None).cast("long").alias("c"))
+    m1 = cut(_elsewhere(anchors))
     # one plan for windows and removal, and equal inputs: Spark shuffles the texts by chunk once and reads that shuffle twice
     windows = d.groupBy("chunk").cogroup(m1.groupBy("chunk")).applyInArrow(_windows, "chunk long, a long, c long, low long")
     least = F.min("low").over(Window.partitionBy("a", "c"))
@@ -201,8 +202,8 @@ def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
         c = _Chunk(table)
-        c.candidates(_told(marks, False))
-        gone = c.removed(_told(marks, True))
+        c.candidates(windows=_column(marks, "a"))
+        gone = c.removed((_column(marks, "a"), _column(marks, "c")))
         n, cut_, sha = zip(*_digest(c.words, gone))
         out = {"doc_id": table["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(cut_, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         if texts:
@@ -221,4 +222,4 @@ def dedup_substrings(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, texts: bool
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
     if texts:
         schema = schema.add("text", "string").add("rest", d.schema["rest"].dataType)
-    return d.groupBy("chunk").cogroup(m1.unionByName(m2).groupBy("chunk")).applyInArrow(final, schema)
+    return d.groupBy("chunk").cogroup(m2.groupBy("chunk")).applyInArrow(final, schema)
