@@ -9,7 +9,7 @@ from ..functions import lexicon as L
 from ..functions import patterns as P
 from ..functions import phonetic
 from ..functions.normalize import AFTER_NUMBERS, BEFORE_NUMBERS, NUMBER_RUN, WORD_VALUE, lang_tag, normalize, number_words
-from ..operators import audio, candidates, evaluate, extract, merge, ocr, provenance, slots, validate
+from ..operators import audio, candidates, evaluate, extract, merge, ocr, patch, provenance, slots, validate
 from ..sources import files
 from ..streaming import monitor, ordered
 from . import synth
@@ -378,6 +378,51 @@ def verify_gate(spark, d):
     return slots.gate(new, audit)
 
 
+# ---- corrections written back
+
+_FIX_KEYS = ("cc_blank", "drug_0_name", "drug_0_dose", "drug_1_name", "vitals_temp", "vitals_bp_sys", "allergy_line", "dx_text", "fu_text", "sign_line", "other")
+_FIX = "case when event_id % 7 = 0 then 'NIL' when event_id % 11 = 2 then concat(' ', cast(event_id % 5 * 50 as varchar(9)), ' ') when event_id % 11 = 6 then concat('nuts', cast(event_id % 3 as varchar(9)), '; ;latex') when event_id % 13 = 0 then 'fever' else concat(' v', cast(event_id % 4 as varchar(9))) end"
+_ENTITY = "job_id, said, said_dose, job_id % 2 = 0 as has_drug, job_id % 3 as s, job_id % 4 = 0 as has_sys, job_id % 5 != 0 as has_box"
+_FIXED_NOTES = f"""n as materialized (select {_ENTITY} from notes),
+fx as (select user_id + 1 as job_id, (['{"', '".join(_FIX_KEYS)}'])[event_id % 11 + 1] as key, arg_max(trim({_FIX}), (ts, event_id)) as v from events group by 1, 2),
+w as (select job_id, max(v) filter (key = 'cc_blank') as cc, max(v) filter (key = 'drug_0_name') as n0, max(v) filter (key = 'drug_0_dose') as d0, max(v) filter (key = 'drug_1_name') as n1, max(v) filter (key = 'vitals_temp') as te, max(v) filter (key = 'vitals_bp_sys') as sy, max(v) filter (key = 'allergy_line') as al, max(v) filter (key = 'dx_text') as dx, max(v) filter (key = 'fu_text') as fu, max(v) filter (key = 'sign_line') as si from fx group by job_id),
+o as (select n.*, w.* exclude (job_id), case when te like 'NIL%' then '' else te end as te2, case when sy like 'NIL%' then '' else sy end as sy2, case when fu like 'NIL%' then '' else fu end as fu2, list_filter(list_transform(string_split(al, ';'), lambda p: trim(p)), lambda p: p != '' and p not like 'NIL%') as parts from n left join w using (job_id))"""
+
+
+@query(f"""with {NOTES}, {_FIXED_NOTES}
+select job_id,
+ case when has_drug then coalesce(n0, said) when n0 is not null or d0 is not null or n1 is not null then coalesce(n0, '') end as drug0,
+ case when d0 is not null then try_cast(d0 as double) when has_drug then said_dose end as dose0, n1 as drug1,
+ case s when 0 then cc when 1 then coalesce(cc, 'cough') else coalesce(cc, 'fever') end as complaint,
+ case when sy is not null then sy2 when has_sys then '111' when te is not null and has_box then '120' end as sys,
+ case when (te is not null or sy is not null) and has_box then '80' end as dia, te2 as temp,
+ 'penicillin' || case when al is null then '; dust' else coalesce(nullif('; ' || array_to_string(parts, '; '), '; '), '') end as allergies,
+ dx, coalesce(fu2, 'review') as fu, si as sign,
+ array_to_string(list_filter([
+  case when cc != case s when 0 then '' when 1 then 'cough' else 'fever' end then 'cc_blank' end,
+  case when n0 != case when has_drug then said else '' end then 'drug_0_name' end,
+  case when d0 is not null and coalesce(cast(try_cast(d0 as double) as varchar), case when d0 like 'NIL%' or d0 = '' then '-' else d0 end) != case when has_drug then cast(said_dose as varchar) else '-' end then 'drug_0_dose' end,
+  case when n1 != '' then 'drug_1_name' end,
+  case when sy2 != case when has_sys then '111' else '' end then 'vitals_bp_sys' end, case when te2 != '' then 'vitals_temp' end,
+  case when al != 'dust' then 'allergy_line' end, case when dx != '' then 'dx_text' end, case when fu2 != 'review' then 'fu_text' end, case when si != '' then 'sign_line' end], lambda k: k is not null), ' ') as audited
+from o""")
+def patched_entities(spark, d):
+    """Entities of each note with the last correction of each field written back, and the fields whose change is audited."""
+    e = table(spark, d, "events").selectExpr("user_id + 1 as job_id", f"element_at(array('{"', '".join(_FIX_KEYS)}'), cast(event_id % 11 + 1 as int)) as key", f"{_FIX} as value", "ts", "event_id as id")
+    text = lambda t, denied="false": f"named_struct('text', {t}, 'confidence', 0.9d, 'color', 'RED', 'negated', {denied}, 'proof', '', 'note', '')"
+    n = _notes(spark, d).selectExpr(*_ENTITY.split(", ")).selectExpr(
+        "job_id", "case when has_drug then array(named_struct('name', said, 'dose', said_dose, 'unit', 'mg', 'frequency', '', 'duration', '', 'confidence', 0.7d, 'color', 'RED', 'proof', '', 'note', '')) end as drugs",
+        "named_struct('sys', case when has_sys then '111' end, 'dia', cast(null as string), 'temp', cast(null as string), 'spo2', cast(null as string)) as structured",
+        f"case s when 0 then array({text("'pain'", 'true')}) when 1 then array({text("'pain'", 'true')}, {text("'cough'")}) else array({text("'fever'")}) end as symptoms",
+        f"array({text("'penicillin'", 'true')}, {text("'dust'")}) as allergies", f"cast(null as {candidates.TEXT}) as diagnosis", f"{text("'review'")} as followup", f"cast(null as {candidates.TEXT}) as patient",
+        "named_struct('sys', case when has_box then '120' end, 'dia', case when has_box then '80' end, 'temp', 'NIL', 'spo2', 'NIL') as boxes", "cast(null as string) as icd10", "cast(null as string) as signature", "true as verified",
+    )
+    return patch.patch_entities(n, e).selectExpr(
+        "job_id", "get(drugs, 0).name as drug0", "get(drugs, 0).dose as dose0", "get(drugs, 1).name as drug1", "get(filter(symptoms, s -> not s.negated), 0).text as complaint", "structured.sys", "structured.dia", "structured.temp",
+        "array_join(allergies.text, '; ') as allergies", "diagnosis.text as dx", "followup.text as fu", "signature as sign", "array_join(audit.key, ' ') as audited",
+    )
+
+
 # ---- merge and judge
 
 _CAND = f"cand as (select job_id, said as name, case when job_id % 3 = 0 then said_dose end as dose, 'mg' as unit from notes where job_id % 2 = 0)"
