@@ -106,10 +106,22 @@ def render_html(slots: DataFrame) -> DataFrame:
     return s.select("job_id", F.concat(F.lit("<ul>"), F.array_join("r.r", ""), F.lit("</ul>")).alias("html"))
 
 
+def _last_edits(slots: DataFrame, edits: DataFrame) -> tuple[DataFrame, Column]:
+    """Slots with the last edit of each field (e), and whether it changes something."""
+    last = edits.groupBy("job_id", "key").agg(F.max(F.struct("ts", "value")).alias("e"))
+    return slots.join(last, ["job_id", "key"], "left"), F.col("e").isNotNull() & ~F.col("e.value").eqNullSafe(F.col("text"))
+
+
+def gate_edits(slots: DataFrame, edits: DataFrame, strict: bool = False) -> DataFrame:
+    """gate of apply_edits(slots, edits), with the fields read once: an edit that changes something is one audit row and leaves its field GREEN."""
+    x, changed = _last_edits(slots, edits)
+    bad = F.col("color").isin("RED", "YELLOW") if strict else F.col("color") == "RED"
+    s = x.select("job_id", bad.alias("bad"), changed.alias("changed")).groupBy("job_id").agg(F.count_if(F.col("bad") & ~F.col("changed")).alias("red"), F.count_if("changed").alias("audited"))
+    return s.select("job_id", "red", "audited", ((F.col("red") == 0) & (F.col("audited") > 0)).alias("may_verify"))
+
+
 def apply_edits(slots: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Slots with the last edit of each field, GREEN; and the audit rows (job_id, key, original, corrected, ts) of edits that change something."""
-    last = edits.groupBy("job_id", "key").agg(F.max(F.struct("ts", "value")).alias("e"))
-    x = slots.join(last, ["job_id", "key"], "left")
-    changed = F.col("e").isNotNull() & ~F.col("e.value").eqNullSafe(F.col("text"))
+    x, changed = _last_edits(slots, edits)
     new = x.select("job_id", "key", F.when(changed, F.col("e.value")).otherwise(F.col("text")).alias("text"), F.when(changed, "GREEN").otherwise(F.col("color")).alias("color"))
     return new, x.where(changed).select("job_id", "key", F.col("text").alias("original"), F.col("e.value").alias("corrected"), F.col("e.ts").alias("ts"))
