@@ -18,25 +18,29 @@ The main text is what is left inside the landmark; on pages without one, the
 unique runs outside. Menus and the like are evidence only.
 
 Hosts over SHARD pages or SHARD_BYTES are dealt into shards by a hash of the
-page, each with a suffix array of its own. Shards tell each other the distinct
-RUN-token windows outside of landmarks, as rows of 96-bit hashes, one for each
-window and task, so that a run on two pages is found wherever they fall. What
-more than half of the articles have is judged within a shard: some 2,000 pages
-of the host dealt at random.
+page, each with a suffix array of its own; the result is that of one array over
+the host. Shards tell each other the distinct RUN-token windows outside of
+landmarks, as rows of 96-bit hashes, so that a run on two pages is found
+wherever they fall. Each distinct article belongs to the first shard that has
+it. What more than half of a host's articles have, more than half of some
+shard's own articles have too: such windows alone are counted in all shards.
+The pages are parsed and shuffled once, and each step reads that shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import U, Words, mix, slices
+from .textkit import U, Words, mix, slices, tidy
 
 SHARD, SHARD_BYTES, RUN, FREQUENT = 2000, 16_000_000, 8, 5
 #: Shard counts (hosts over SHARD pages) up to which the table is broadcast.
@@ -222,7 +226,10 @@ class SuffixArray:
             self.shared[at] = k
 
 
-_PARSED = ["host", "part", "page_id", "url", "hash", "shards", "inside", "outside", "dropped", "seen"]
+_PARSED = ["host", "part", "page_id", "url", "hash", "shards", "inside", "outside", "dropped", "seen", "one", "two"]
+#: Rows that shards tell each other: a window outside of landmarks, an article, a window inside, a shard's number of articles.
+OUT, ARTICLE, IN, TOTAL = 0, 1, 2, 3
+_TOLD = "host string, part long, shards long, kind int, one long, two long, n long"
 Page = tuple[list[str], list[str], list[str]]
 
 
@@ -311,6 +318,34 @@ class Streams:
         return out
 
 
+def _pairs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.rec.fromarrays([one, two], names="a,b")
+
+
+def _article(blocks_: list[str]) -> tuple[int | None, int | None]:
+    """128 bits of an article's text but for a sign, in two numbers: the second is negative, as no window's is. None without text."""
+    if not blocks_:
+        return None, None
+    d = hashlib.blake2b("\n".join(blocks_).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little") // 2 - 2**63
+
+
+def _article_windows(articles: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of different articles, and how many of the articles have each."""
+    s = Streams([(a, [], []) for a in articles])
+    at = s.windows(RUN)
+    one, two = s.hashes(at, RUN)
+    page = s.page[at]
+    order = np.lexsort((page, two, one))
+    one, two, page = one[order], two[order], page[order]
+    new, again = np.ones(len(at), bool), np.zeros(len(at), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    again[1:] = ~new[1:] & (page[1:] == page[:-1])
+    first = np.flatnonzero(new)
+    n = np.add.reduceat((~again).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return _pairs(one[first], two[first]), n
+
+
 def _covered(n: int, starts: np.ndarray, least: int) -> np.ndarray:
     step = np.zeros(n + 1, np.int64)
     np.add.at(step, starts, 1)
@@ -318,16 +353,23 @@ def _covered(n: int, starts: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def unique_runs(pages: list[Page], least: int = RUN, more: np.ndarray | None = None) -> list[list[list[str]]]:
-    """For each page, its blocks inside and outside of a landmark without boilerplate runs of `least` tokens or more. more: starts of windows that pages elsewhere have outside of landmarks."""
+def unique_runs(pages: list[Page], least: int = RUN, told: tuple[np.ndarray, np.ndarray] | None = None) -> list[list[list[str]]]:
+    """For each page, its blocks inside and outside of a landmark without boilerplate runs of `least` tokens or more.
+
+    told, where the pages are one shard of a host: the windows outside of
+    landmarks that another shard has too, and the windows inside that go.
+    """
     s = Streams(pages)
     if not len(s.seq):
         return [[list(p[0]), list(p[1])] for p in pages]
     group, twice, articles = s.starts(least)
     gone = twice[group] & (s.zone > 0)
-    if more is not None:
-        gone[more] |= s.zone[more] > 0
-    gone |= (articles >= FREQUENT)[group] & (2 * articles > s.n_articles)[group] & (s.zone == 0)
+    if told is None:
+        gone |= (articles >= FREQUENT)[group] & (2 * articles > s.n_articles)[group] & (s.zone == 0)
+    else:
+        at = s.windows(least)
+        own, out = _pairs(*s.hashes(at, least)), s.zone[at] > 0
+        gone[at] |= np.where(out, np.isin(own, told[0]), np.isin(own, told[1]))
     gone = _covered(len(s.seq), np.flatnonzero(gone), least)
     word = s.seq > 0
     for k in np.unique(s.page[gone & word & (s.zone == 0)]):
@@ -367,17 +409,26 @@ def main_text(pages: DataFrame, shard: int = SHARD, shard_bytes: int = SHARD_BYT
         for b in batches:
             for part in slices(b, "html"):
                 ins, outs, drops, seen = zip(*map(blocks, part["html"].to_pylist()))
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("host", "part", "page_id", "url", "hash", "shards")), *(pa.array(c, pa.list_(pa.string())) for c in (ins, outs, drops)), pa.array(seen, pa.bool_())], _PARSED)
+                one, two = zip(*map(_article, ins))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("host", "part", "page_id", "url", "hash", "shards")), *(pa.array(c, pa.list_(pa.string())) for c in (ins, outs, drops)), pa.array(seen, pa.bool_()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], _PARSED)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b, "html"):
-                s = Streams([([], *blocks(h)[1:3]) for h in part["html"].to_pylist()])
-                at = s.windows(RUN)
-                one, two = s.hashes(at, RUN)
-                yield pa.RecordBatch.from_arrays([part["host"].take(pa.array(s.page[at])), part["part"].take(pa.array(s.page[at])), pa.array(one), pa.array(two)], ["host", "part", "one", "two"])
+    dealt = hashed.mapInArrow(parse, "host string, part long, page_id long, url string, hash long, shards long, inside array<string>, outside array<string>, dropped array<string>, seen boolean, one long, two long").groupBy("host", "part")
+
+    def told(t: pa.Table | None, kinds: list[tuple[int, np.ndarray, np.ndarray | None]]) -> pa.Table:
+        """Rows of the shard t, of pairs of numbers and counts of each kind."""
+        kinds = [(k, p, np.zeros(len(p), np.int64) if n is None else n) for k, p, n in kinds]
+        n = sum(len(p) for _, p, _ in kinds)
+        named = [pa.array([t[c][0].as_py() if n else None] * n, kind) for c, kind in (("host", pa.string()), ("part", pa.int64()), ("shards", pa.int64()))]
+        join = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
+        kind = pa.array(np.repeat([k for k, _, _ in kinds], [len(p) for _, p, _ in kinds]).astype(np.int32))
+        return pa.table([*named, kind, join([p["a"] for _, p, _ in kinds]), join([p["b"] for _, p, _ in kinds]), join([c for _, _, c in kinds])], ["host", "part", "shards", "kind", "one", "two", "n"])
+
+    def of(marks: pa.Table, kind: int) -> np.ndarray:
+        rows = marks.filter(pc.equal(marks["kind"], kind))
+        return _pairs(*(rows[c].to_numpy().astype(np.int64) for c in ("one", "two")))
 
-    dealt = hashed.mapInArrow(parse, "host string, part long, page_id long, url string, hash long, shards long, inside array<string>, outside array<string>, dropped array<string>, seen boolean")
+    def sharded(t: pa.Table) -> bool:
+        return t.num_rows > 0 and t["shards"][0].as_py() > 1 and t["host"][0].as_py() != ""
 
     def distinct(t: pa.Table) -> tuple[list[int], list[Page], list[int]]:
         """The hashes of the rows, the blocks of each row, and the first row of each page in order."""
@@ -385,23 +436,60 @@ def main_text(pages: DataFrame, shard: int = SHARD, shard_bytes: int = SHARD_BYT
         first = {k: i for i, k in reversed(list(enumerate(keys)))}
         return keys, list(zip(t["inside"].to_pylist(), t["outside"].to_pylist(), t["dropped"].to_pylist())), sorted(first.values(), key=keys.__getitem__)
 
+    def own_articles(t: pa.Table, marks: pa.Table) -> list[list[str]]:
+        mine = set(of(marks, ARTICLE).tolist())
+        row = {k: i for i, k in enumerate(zip(t["one"].to_pylist(), t["two"].to_pylist())) if k in mine}
+        return t["inside"].take(pa.array(sorted(row.values()), pa.int64())).to_pylist()
+
+    @tidy
+    def tell(t: pa.Table) -> pa.Table:
+        """What a shard has: its windows outside of landmarks and its articles."""
+        if not sharded(t):
+            return told(None, [])
+        s = Streams([([], *p) for p in zip(t["outside"].to_pylist(), t["dropped"].to_pylist())])
+        a = t.filter(t["one"].is_valid())
+        return told(t, [(OUT, np.unique(_pairs(*s.hashes(s.windows(RUN), RUN))), None), (ARTICLE, np.unique(_pairs(a["one"].to_numpy(), a["two"].to_numpy())), None)])
+
+    @tidy
+    def common(t: pa.Table, marks: pa.Table) -> pa.Table:
+        """The windows that more than half of the shard's own articles have."""
+        articles = own_articles(t, marks) if sharded(t) else []
+        if not articles:
+            return told(None, [])
+        windows, n = _article_windows(articles)
+        return told(t, [(IN, windows[2 * n > len(articles)], None)])
+
+    @tidy
+    def tally(t: pa.Table, marks: pa.Table) -> pa.Table:
+        """How many of the shard's own articles have each common window, and the number of articles."""
+        articles = own_articles(t, marks) if sharded(t) else []
+        if not articles:
+            return told(None, [])
+        out, asked = [(TOTAL, _pairs(np.zeros(1, np.int64), np.zeros(1, np.int64)), np.array([len(articles)]))], of(marks, IN)
+        if len(asked):
+            windows, n = _article_windows(articles)
+            hit = np.isin(windows, asked)
+            out.append((IN, windows[hit], n[hit]))
+        return told(t, out)
+
+    @tidy
     def finish(t: pa.Table, marks: pa.Table) -> pa.Table:
         keys, every, rows = distinct(t)
         mine, runs = [every[i] for i in rows], {}
-        if not t["host"][0].as_py():
+        if t.num_rows and not t["host"][0].as_py():
             runs = {keys[i]: [list(every[i][0]), list(every[i][1])] for i in rows}
-        elif t["shards"][0].as_py() == 1:
-            runs = dict(zip((keys[i] for i in rows), unique_runs(mine)))
         else:
-            s = Streams(mine)
-            at = s.windows(RUN)
-            at = at[s.zone[at] > 0]
-            own, told = (np.rec.fromarrays(k, names="a,b") for k in (s.hashes(at, RUN), [marks[c].to_numpy().astype(np.int64) for c in ("one", "two")]))
-            runs = dict(zip((keys[i] for i in rows), unique_runs(mine, more=at[np.isin(own, told)])))
+            runs = dict(zip((keys[i] for i in rows), unique_runs(mine, told=(of(marks, OUT), of(marks, IN)) if sharded(t) else None)))
         text = [" ".join(runs[k][0 if seen else 1]) for k, seen in zip(keys, t["seen"].to_pylist())]
         return pa.table({"page_id": t["page_id"], "url": t["url"], "text": pa.array(text, pa.string()), "n_chars": pa.array([len(s) for s in text], pa.int64())})
 
-    sent = hashed.where("shards > 1 and host != ''").mapInArrow(send, "host string, part long, one long, two long")
-    parts = sent.groupBy("host", "one", "two").agg(F.collect_set("part").alias("parts")).where(F.size("parts") > 1)
-    marks = parts.select("host", "one", "two", F.explode("parts").alias("part"))
-    return dealt.groupBy("host", "part").cogroup(marks.groupBy("host", "part")).applyInArrow(finish, "page_id long, url string, text string, n_chars long")
+    # one plan, so that all steps read the one shuffle of the pages; kind is aggregated, not a key, so that no filter gets below it
+    every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("part")
+    sent = dealt.applyInArrow(tell, _TOLD).groupBy("host", "one", "two").agg(F.max("kind").alias("kind"), F.max("shards").alias("shards"), F.collect_set("part").alias("parts"))
+    owned = sent.where(F.col("kind") == ARTICLE).select("host", F.array_min("parts").alias("part"), "kind", "one", "two")
+    twice = sent.where((F.col("kind") == OUT) & (F.size("parts") > 1)).select("host", F.explode("parts").alias("part"), "kind", "one", "two")
+    asked = dealt.cogroup(owned.groupBy("host", "part")).applyInArrow(common, _TOLD).groupBy("host", "one", "two").agg(F.max("kind").alias("kind"), F.max("shards").alias("shards")).select("host", every_part, "kind", "one", "two")
+    counted = dealt.cogroup(owned.union(asked).groupBy("host", "part")).applyInArrow(tally, _TOLD).groupBy("host", "kind", "one", "two").agg(F.sum("n").alias("n"), F.max("shards").alias("shards"))
+    total = F.max(F.when(F.col("kind") == TOTAL, F.col("n"))).over(Window.partitionBy("host"))
+    often = counted.withColumn("total", total).where((F.col("kind") == IN) & (F.col("n") >= FREQUENT) & (2 * F.col("n") > F.col("total"))).select("host", every_part, "kind", "one", "two")
+    return dealt.cogroup(twice.union(often).groupBy("host", "part")).applyInArrow(finish, "page_id long, url string, text string, n_chars long")
