@@ -9,13 +9,13 @@
 3. The survivors are partitioned into groups of similar sets: min-hash bands
    name a leader, the exact Jaccard value confirms it, components are groups.
 4. Prefixes are taken again with rare tokens first. The matrix has a row for
-   each prefix token of each group: the group's token union. A set's tokens
-   that a group's union has bound what it shares with any member; only groups
-   where the bound reaches the tenth, and whose sizes fit, are opened. The bound
-   is taken for groups that the set meets at an early enough token.
-5. A set is compared exactly with those members of an opened group that share
-   a prefix token with it and pass the size and position bounds. Pairs inside a
-   group are never formed: their links are known.
+   each prefix token of each group and size class: the sizes and the first place
+   of the members that have it. A set opens a group at a token where these leave
+   room for a link; the row keeps the token, so no other token of the set or the
+   group is joined to it.
+5. A set is compared exactly with those members of an opened group that have
+   that token and pass the size and position bounds. Pairs inside a group are
+   never formed: their links are known.
 
 All rows are in proportion to the tokens, whatever the number of chunks: a
 token or a copy that a third of all documents hold is one row a chunk. Tokens
@@ -237,27 +237,28 @@ def _rooms(first: DataFrame, percent: int) -> DataFrame:
 
 
 def _met(first: DataFrame, percent: int) -> DataFrame:
-    """(doc, n, other): groups that a set meets at a token and by both classes."""
+    """(doc, n, pos, token, other): groups that a set meets at a token and by both classes."""
     rows = _rooms(first, percent)
     groups = rows.groupBy("token", F.col("own").alias("partner"), F.col("partner").alias("own"), F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("first"))
     fits = f"grp < other and 100 * n >= {percent} * least and 100 * most >= {percent} * n and {100 + percent} * least(n - pos, most - first) >= {percent} * (n + least)"
-    return rows.join(groups, ["token", "own", "partner"]).where(fits).select("doc", "n", "other").distinct()
+    return rows.join(groups, ["token", "own", "partner"]).where(fits).select("doc", "n", "pos", "token", "other").distinct()
 
 
 def _group_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of sets of different groups that may link, from the groups that each set opens."""
+    """(a, b): pairs of sets of different groups that may link, from the groups that each set opens.
+
+    The first token that two linked sets have in common passes every bound, so
+    it alone brings them together; the set's other tokens are not asked.
+    """
     need = F.ceil(F.col("n") * percent / 100)
     enough = F.greatest(F.lit(1), F.floor(need / 10))
     t = _prefix_rows(sets, percent).join(groups, F.col("doc") == F.col("node"), "left").select("doc", "n", "pos", "token", F.coalesce("component", "doc").alias("grp"))
     several = t.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     t = t.join(several, "token", "left_semi")
     some = t.groupBy("doc").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= enough).select("doc")
-    t = cut(t.join(some, "doc", "left_semi"))
     first = t.where(F.col("pos") <= F.col("n") - need)  # linked sets share a token here
-    met = _met(first, percent)
-    union = t.select("token", F.col("grp").alias("other")).distinct()
-    opened = met.join(t.select("doc", "token"), "doc").join(union, ["token", "other"]).groupBy("doc", "n", "other").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("doc", "other")
-    x = first.join(opened, "doc").select(F.col("doc").alias("a"), F.col("other").alias("grp"), "token", F.col("n").alias("an"), F.col("pos").alias("i"))
+    first = cut(first.join(some, "doc", "left_semi"))
+    x = _met(first, percent).select(F.col("doc").alias("a"), F.col("other").alias("grp"), "token", F.col("n").alias("an"), F.col("pos").alias("i"))
     y = first.select("grp", "token", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("j"))
     near = f"100 * least(an, bn) >= {percent} * greatest(an, bn) and {100 + percent} * least(an - i, bn - j) >= {percent} * (an + bn)"
     return x.join(y, ["grp", "token"]).where(near).select("a", "b").distinct()
