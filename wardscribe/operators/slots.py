@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -50,44 +50,67 @@ def allergy_line(notes: DataFrame, allergies: DataFrame) -> DataFrame:
     return notes.select("job_id").join(a, "job_id", "left").select("job_id", F.coalesce(F.nullif("active", F.lit("")), F.lit("NIL — none extracted")).alias("active"), F.coalesce("denied", F.lit("")).alias("denied"))
 
 
+def _active(allergies: DataFrame) -> DataFrame:
+    """(job_id, active): active allergens as in allergy_line; notes without one are left out."""
+    a = allergies.where(~F.col("negated")).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("sent", "allergen"))).alias("a"))
+    return a.select("job_id", F.nullif(F.array_join("a.allergen", "; "), F.lit("")).alias("active"))
+
+
 def dose_text(dose: Column) -> Column:
     """Whole doses without a fraction; null and 0 are NIL."""
     return F.when(F.coalesce(dose, F.lit(0.0)) == 0, "NIL").when(dose == F.floor(dose), dose.cast("bigint").cast("string")).otherwise(dose.cast("string"))
 
 
+def _first_drugs(drugs: DataFrame, most: int = 2) -> DataFrame:
+    """(job_id, rows): the first drugs of each note in order, without a sort of all."""
+    place = F.struct("sent", "clause", "ord", "name", "dose", "unit", "frequency", "duration", "color")
+    return drugs.groupBy("job_id").agg(F.slice(F.sort_array(F.collect_list(place)), 1, most).alias("rows"))
+
+
+def _cells(rows: Column) -> Column:
+    """The cells (key, value, color) of a note's drug rows; of the first where there is none."""
+    def row(d: Column, i: Column) -> Column:
+        cells = [("name", F.coalesce(d["name"], F.lit("NIL — no drug heard"))), ("dose", dose_text(d["dose"])), ("unit", F.coalesce(d["unit"], F.lit("NIL"))), ("freq", F.coalesce(F.nullif(d["frequency"], F.lit("")), F.lit("NIL"))), ("duration", F.coalesce(F.nullif(d["duration"], F.lit("")), F.lit("NIL")))]
+        color = lambda v: F.when(v.startswith("NIL"), "RED").otherwise(F.coalesce(d["color"], F.lit("RED")))
+        return F.array(*[F.struct(F.concat(F.lit("drug_"), i.cast("string"), F.lit(f"_{k}")).alias("key"), v.alias("value"), color(v).alias("color")) for k, v in cells])
+
+    return F.flatten(F.transform(F.coalesce(rows, F.array(F.lit(None).cast("struct<sent:int,clause:int,ord:int,name:string,dose:double,unit:string,frequency:string,duration:string,color:string>"))), row))
+
+
 def drug_cells(notes: DataFrame, drugs: DataFrame) -> DataFrame:
     """(job_id, key, value, color) of the two drug rows; the first row is NIL and RED where no drug was heard, later drugs have no box."""
-    w = Window.partitionBy("job_id").orderBy("sent", "clause", "ord")
-    d = drugs.withColumn("row", F.row_number().over(w) - 1).where("row < 2")
-    d = notes.select("job_id").join(d, "job_id", "left").withColumn("row", F.coalesce("row", F.lit(0)))
-    cells = [("name", F.coalesce("name", F.lit("NIL — no drug heard"))), ("dose", dose_text(F.col("dose"))), ("unit", F.coalesce("unit", F.lit("NIL"))), ("freq", F.coalesce(F.nullif("frequency", F.lit("")), F.lit("NIL"))), ("duration", F.coalesce(F.nullif("duration", F.lit("")), F.lit("NIL")))]
-    x = d.select("job_id", "row", "color", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in cells])).alias("c"))
-    color = F.when(F.col("c.v").startswith("NIL"), "RED").otherwise(F.coalesce("color", F.lit("RED")))
-    return x.select("job_id", F.concat(F.lit("drug_"), F.col("row").cast("string"), F.lit("_"), "c.k").alias("key"), F.col("c.v").alias("value"), color.alias("color"))
+    d = notes.select("job_id").join(_first_drugs(drugs), "job_id", "left")
+    return d.select("job_id", F.explode(_cells(F.col("rows"))).alias("c")).select("job_id", "c.*")
 
 
 def all_slots(notes: DataFrame, symptoms: DataFrame, vitals: DataFrame, drugs: DataFrame, allergies: DataFrame, findings: DataFrame, note_date: str) -> DataFrame:
-    """(job_id, key, text, color, truncated): every field of every note, cut to its box."""
-    jobs = notes.select("job_id")
-
-    def with_(df: DataFrame) -> DataFrame:
-        return jobs.join(df, "job_id", "left")
-
+    """(job_id, key, text, color, truncated): every field of every note, cut to its box.
+
+    A note is one row until its fields are complete; the rows of its fields stay
+    dealt by note, so what regroups them shuffles nothing.
+    """
+    x = notes.select("job_id")
+    for side in (chief_complaint(symptoms).withColumnRenamed("color", "cc_color"), vitals_boxes(vitals), _active(allergies), findings, _first_drugs(drugs)):
+        x = x.join(side, "job_id", "left")
     nil = F.lit("NIL")
-    cc = with_(chief_complaint(symptoms)).select("job_id", F.lit("cc_blank").alias("key"), F.coalesce("complaint", F.lit("NIL — not heard")).alias("value"), F.coalesce("color", F.lit("RED")).alias("color"))
-    v = with_(vitals_boxes(vitals)).select("job_id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(c, nil).alias("value")) for k, c in (("vitals_bp_sys", F.col("sys")), ("vitals_bp_dia", F.col("dia")), ("vitals_temp", F.col("temp")), ("vitals_spo2", F.col("spo2")))])).alias("s")).select("job_id", "s.*")
-    v = v.withColumn("color", F.when(F.col("value") == "NIL", "RED").otherwise("YELLOW"))
-    a = allergy_line(notes, allergies).select("job_id", F.lit("allergy_line").alias("key"), F.col("active").alias("value"), F.when(F.col("active").startswith("NIL"), "GREEN").otherwise("YELLOW").alias("color"))
-    f = with_(findings).select("job_id", F.explode(F.array(
-        F.struct(F.lit("dx_text").alias("key"), F.coalesce("diagnosis", F.lit("NIL — [DR CONFIRM]")).alias("value"), F.when(F.col("diagnosis").isNull(), "RED").otherwise("YELLOW").alias("color")),
-        F.struct(F.lit("dx_code_box").alias("key"), nil.alias("value"), F.lit("RED").alias("color")),
-        F.struct(F.lit("fu_text").alias("key"), F.coalesce("follow_up", F.lit("NIL — no follow-up heard")).alias("value"), F.when(F.col("follow_up").isNull(), "GREEN").otherwise("YELLOW").alias("color")),
-        F.struct(F.lit("date_box").alias("key"), F.lit(note_date).alias("value"), F.lit("GREEN").alias("color")),
-        F.struct(F.lit("sign_line").alias("key"), F.lit("_" * 16).alias("value"), F.lit("GREEN").alias("color")))).alias("s")).select("job_id", "s.*")
-    every = cc.unionByName(v).unionByName(a).unionByName(f).unionByName(drug_cells(notes, drugs))
-    boxes = F.create_map(*[F.lit(x) for k, n, o in GEOMETRY for x in (k, f"{n} {o}")])
-    box = F.split(boxes[F.col("key")], " ")
-    return every.select("job_id", "key", fit(F.col("value"), box[0].cast("int"), box[1]).alias("text"), "color", (F.length("value") > box[0].cast("int")).alias("truncated"))
+    one = lambda key, value, color: F.struct(F.lit(key).alias("key"), value.alias("value"), color.alias("color"))
+    box = lambda c: F.coalesce(F.col(c), nil)
+    green, red, yellow = map(F.lit, ("GREEN", "RED", "YELLOW"))
+    active = F.coalesce("active", F.lit("NIL — none extracted"))
+    single = F.array(
+        one("cc_blank", F.coalesce("complaint", F.lit("NIL — not heard")), F.coalesce("cc_color", red)),
+        *[one(f"vitals_{k}", box(c), F.when(box(c) == "NIL", red).otherwise(yellow)) for k, c in (("bp_sys", "sys"), ("bp_dia", "dia"), ("temp", "temp"), ("spo2", "spo2"))],
+        one("allergy_line", active, F.when(active.startswith("NIL"), green).otherwise(yellow)),
+        one("dx_text", F.coalesce("diagnosis", F.lit("NIL — [DR CONFIRM]")), F.when(F.col("diagnosis").isNull(), red).otherwise(yellow)),
+        one("dx_code_box", nil, red),
+        one("fu_text", F.coalesce("follow_up", F.lit("NIL — no follow-up heard")), F.when(F.col("follow_up").isNull(), green).otherwise(yellow)),
+        one("date_box", F.lit(note_date), green),
+        one("sign_line", F.lit("_" * 16), green),
+    )
+    every = x.select("job_id", F.explode(F.concat(single, _cells(F.col("rows")))).alias("s")).select("job_id", "s.*")
+    most = F.create_map(*[F.lit(y) for k, n, _ in GEOMETRY for y in (k, n)])[F.col("key")]
+    overflow = F.create_map(*[F.lit(y) for k, _, o in GEOMETRY for y in (k, o)])[F.col("key")]
+    return every.select("job_id", "key", fit(F.col("value"), most, overflow).alias("text"), "color", (F.length("value") > most).alias("truncated"))
 
 
 def gate(slots: DataFrame, audit: DataFrame, strict: bool = False) -> DataFrame:
