@@ -33,10 +33,16 @@ from .session import cut
 from .textkit import U, Words, slices, tidy
 
 WINDOW, PERIOD, COVER, ANCHOR = 13, 7, (0, 1, 3), 7
+ANCHOR_BITS = 40
 CHUNK_DOCS, CHUNK_BYTES = 2000, 8_000_000
 NO_ID = np.iinfo(np.int64).max
 
 
+def _anchor_hashes(w: Words, at: np.ndarray) -> np.ndarray:
+    """The leading bits of an anchor's hash: anchors only choose the windows to compare, so one that equals another by chance costs a window and changes no result."""
+    return (w.roll(at, ANCHOR, 1) >> U(64 - ANCHOR_BITS)).astype(np.int64)
+
+
 class _Chunk:
     """Words, anchors and windows of one chunk's documents."""
 
@@ -46,7 +52,7 @@ class _Chunk:
         at = w.windows(ANCHOR)
         place = at - w.first[w.doc[at]]
         self.at = at[np.isin(place % PERIOD, COVER)]
-        self.anchors, self.which = np.unique(w.roll(self.at, ANCHOR, 1).view(np.int64), return_inverse=True)
+        self.anchors, self.which = np.unique(_anchor_hashes(w, self.at), return_inverse=True)
 
     def candidates(self, anchors: np.ndarray | None = None, windows: np.ndarray | None = None) -> None:
         """Keeps the windows that hold one of the anchors of other chunks or, without these, one that two documents here hold; and the given windows (first hashes)."""
@@ -102,7 +108,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = Words(part["text"])
             at = w.windows(ANCHOR)
             at = at[np.isin((at - w.first[w.doc[at]]) % PERIOD, COVER)]
-            chunk, a = part["chunk"].to_numpy()[w.doc[at]], w.roll(at, ANCHOR, 1).view(np.int64)
+            chunk, a = part["chunk"].to_numpy()[w.doc[at]], _anchor_hashes(w, at)
             order = np.lexsort((a, chunk))
             chunk, a = chunk[order], a[order]
             new = np.append(True, (a[1:] != a[:-1]) | (chunk[1:] != chunk[:-1])) if len(a) else np.zeros(0, bool)
