@@ -161,7 +161,8 @@ def _survivors(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> Dat
         return pa.table({"doc": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "tokens": pa.array(out[2], pa.binary()), "bands": pa.array(out[3], pa.list_(pa.int64())), "share": pa.array(out[4], pa.float64())})
 
     sent = d.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(send, "chunk long, token long")
-    told = cut(shared_rows(sent, "token", "chunk")).select("chunk", *[F.lit(None).cast("long").alias(c) for c in ("rep", "f1", "f2")], "token")
+    # one plan and equal inputs: Spark shuffles the texts by chunk once and reads that shuffle twice
+    told = shared_rows(sent, "token", "chunk").select("chunk", *[F.lit(None).cast("long").alias(c) for c in ("rep", "f1", "f2")], "token")
     return cut(d.groupBy("chunk").cogroup(side.unionByName(told).groupBy("chunk")).applyInArrow(keep, "doc long, n long, tokens binary, bands array<long>, share double"))
 
 

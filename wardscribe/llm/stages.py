@@ -39,8 +39,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     c = jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
     kept = c.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.where("doc_id is not null").select(F.struct(*_columns(docs)).alias("row"), F.col("doc_id").alias("_id"))
-    one = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").select("row.*")
-    return one.distinct().unionByName(docs.where("doc_id is null"))
+    # equal rows have one id, by which the join has dealt them: with the id among its keys the distinct shuffles no row again
+    one = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").select("_id", "row").distinct().select("row.*")
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
