@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import patterns as P
+from .extract import exploded
 
 # Most characters and overflow of each field.
 GEOMETRY = [
@@ -37,10 +38,22 @@ def vitals_boxes(vitals: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("kind") == kind, F.struct("sent", "ord", "vital")))["vital"]
 
     v = vitals.groupBy("job_id").agg(last("bp").alias("bp"), last("temp").alias("t"), last("spo2").alias("o"))
+    return v.select("job_id", *_boxes(F.col("bp"), F.col("t"), F.col("o")))
+
+
+def _boxes(bp: Column, t: Column, o: Column) -> list[Column]:
+    """sys, dia, temp and spo2 of a pressure, a temperature and a saturation."""
     nil = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("NIL"))
-    temp = F.substring(F.coalesce(F.nullif(F.regexp_extract("t", f"(?i){P.TEMP}", 0), F.lit("")), F.col("t")), 1, 20)
-    spo2 = F.substring(F.coalesce(F.nullif(F.regexp_extract("o", r"\d{2,3}(?:\.\d{1,2})?\s*%?", 0), F.lit("")), F.col("o")), 1, 20)
-    return v.select("job_id", nil(F.regexp_extract("bp", P.PAIR, 1)).alias("sys"), nil(F.regexp_extract("bp", P.PAIR, 3)).alias("dia"), nil(temp).alias("temp"), nil(spo2).alias("spo2"))
+    temp = F.substring(F.coalesce(F.nullif(F.regexp_extract(t, f"(?i){P.TEMP}", 0), F.lit("")), t), 1, 20)
+    spo2 = F.substring(F.coalesce(F.nullif(F.regexp_extract(o, r"\d{2,3}(?:\.\d{1,2})?\s*%?", 0), F.lit("")), o), 1, 20)
+    return [nil(F.regexp_extract(bp, P.PAIR, 1)).alias("sys"), nil(F.regexp_extract(bp, P.PAIR, 3)).alias("dia"), nil(temp).alias("temp"), nil(spo2).alias("spo2")]
+
+
+def note_boxes(rows: DataFrame) -> DataFrame:
+    """Rows of extract.noted() with the columns of vitals_boxes; a note without vitals has NIL in each."""
+    last = lambda kind: F.try_element_at(F.filter("vitals", lambda v: v["kind"] == kind), F.lit(-1))["vital"]
+    x = rows.withColumns({"_bp": last("bp"), "_t": last("temp"), "_o": last("spo2")})
+    return x.select("*", *_boxes(F.col("_bp"), F.col("_t"), F.col("_o"))).drop("_bp", "_t", "_o")
 
 
 def allergy_line(notes: DataFrame, allergies: DataFrame) -> DataFrame:
@@ -50,21 +63,15 @@ def allergy_line(notes: DataFrame, allergies: DataFrame) -> DataFrame:
     return notes.select("job_id").join(a, "job_id", "left").select("job_id", F.coalesce(F.nullif("active", F.lit("")), F.lit("NIL — none extracted")).alias("active"), F.coalesce("denied", F.lit("")).alias("denied"))
 
 
-def _active(allergies: DataFrame) -> DataFrame:
-    """(job_id, active): active allergens as in allergy_line; notes without one are left out."""
-    a = allergies.where(~F.col("negated")).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("sent", "allergen"))).alias("a"))
-    return a.select("job_id", F.nullif(F.array_join("a.allergen", "; "), F.lit("")).alias("active"))
-
-
 def dose_text(dose: Column) -> Column:
     """Whole doses without a fraction; null and 0 are NIL."""
     return F.when(F.coalesce(dose, F.lit(0.0)) == 0, "NIL").when(dose == F.floor(dose), dose.cast("bigint").cast("string")).otherwise(dose.cast("string"))
 
 
-def _first_drugs(drugs: DataFrame, most: int = 2) -> DataFrame:
-    """(job_id, rows): the first drugs of each note in order, without a sort of all."""
-    place = F.struct("sent", "clause", "ord", "name", "dose", "unit", "frequency", "duration", "color")
-    return drugs.groupBy("job_id").agg(F.slice(F.sort_array(F.collect_list(place)), 1, most).alias("rows"))
+def _first_drugs(most: int = 2) -> Column:
+    """The first drugs of a note, of extract.noted(); null where there is none."""
+    place = lambda d: F.struct(*[d[c].alias(c) for c in ("sent", "clause", "ord", "name", "dose", "unit", "frequency", "duration", "color")])
+    return F.when(F.size("drugs") > 0, F.transform(F.slice("drugs", 1, most), place))
 
 
 def _cells(rows: Column) -> Column:
@@ -77,21 +84,24 @@ def _cells(rows: Column) -> Column:
     return F.flatten(F.transform(F.coalesce(rows, F.array(F.lit(None).cast("struct<sent:int,clause:int,ord:int,name:string,dose:double,unit:string,frequency:string,duration:string,color:string>"))), row))
 
 
-def drug_cells(notes: DataFrame, drugs: DataFrame) -> DataFrame:
-    """(job_id, key, value, color) of the two drug rows; the first row is NIL and RED where no drug was heard, later drugs have no box."""
-    d = notes.select("job_id").join(_first_drugs(drugs), "job_id", "left")
-    return d.select("job_id", F.explode(_cells(F.col("rows"))).alias("c")).select("job_id", "c.*")
+def drug_cells(rows: DataFrame) -> DataFrame:
+    """(job_id, key, value, color) of the two drug rows of extract.noted(); the first row is NIL and RED where no drug was heard, later drugs have no box."""
+    d = rows.select("job_id", _first_drugs().alias("rows"))
+    return exploded(d.select("job_id", _cells(F.col("rows")).alias("c")), "c", "at", "c").select("job_id", "c.*")
+
 
+def all_slots(rows: DataFrame, note_date: str) -> DataFrame:
+    """(job_id, key, text, color, truncated): every field of every note of extract.noted(), cut to its box."""
+    return exploded(slot_arrays(rows, note_date), "slots", "at", "s").select("job_id", "s.*")
 
-def all_slots(notes: DataFrame, symptoms: DataFrame, vitals: DataFrame, drugs: DataFrame, allergies: DataFrame, findings: DataFrame, note_date: str) -> DataFrame:
-    """(job_id, key, text, color, truncated): every field of every note, cut to its box.
 
-    A note is one row until its fields are complete; the rows of its fields stay
-    dealt by note, so what regroups them shuffles nothing.
-    """
-    x = notes.select("job_id")
-    for side in (chief_complaint(symptoms).withColumnRenamed("color", "cc_color"), vitals_boxes(vitals), _active(allergies), findings, _first_drugs(drugs)):
-        x = x.join(side, "job_id", "left")
+def slot_arrays(rows: DataFrame, note_date: str) -> DataFrame:
+    """(job_id, slots): all_slots with a note's fields as an array of its row."""
+    canon = F.create_map(*[F.lit(x) for kv in L.SYMPTOM_CANON.items() for x in kv])
+    first = F.get(F.filter("symptoms", lambda s: ~s["negated"]), F.lit(0))["symptom"]
+    active = F.array_sort(F.transform(F.filter("allergies", lambda a: ~a["negated"]), lambda a: F.struct(a["sent"].alias("sent"), a["allergen"].alias("allergen"))))
+    x = note_boxes(rows).select("job_id", "sys", "dia", "temp", "spo2", "diagnosis", "follow_up", first.alias("complaint"), F.nullif(F.array_join(active["allergen"], "; "), F.lit("")).alias("active"), _first_drugs().alias("rows"))
+    x = x.withColumn("complaint", F.coalesce(F.try_element_at(canon, F.col("complaint")), F.col("complaint"))).withColumn("cc_color", F.when(F.col("complaint").isNotNull(), "YELLOW"))
     nil = F.lit("NIL")
     one = lambda key, value, color: F.struct(F.lit(key).alias("key"), value.alias("value"), color.alias("color"))
     box = lambda c: F.coalesce(F.col(c), nil)
@@ -107,10 +117,14 @@ def all_slots(notes: DataFrame, symptoms: DataFrame, vitals: DataFrame, drugs: D
         one("date_box", F.lit(note_date), green),
         one("sign_line", F.lit("_" * 16), green),
     )
-    every = x.select("job_id", F.explode(F.concat(single, _cells(F.col("rows")))).alias("s")).select("job_id", "s.*")
-    most = F.create_map(*[F.lit(y) for k, n, _ in GEOMETRY for y in (k, n)])[F.col("key")]
-    overflow = F.create_map(*[F.lit(y) for k, _, o in GEOMETRY for y in (k, o)])[F.col("key")]
-    return every.select("job_id", "key", fit(F.col("value"), most, overflow).alias("text"), "color", (F.length("value") > most).alias("truncated"))
+    most = F.create_map(*[F.lit(y) for k, n, _ in GEOMETRY for y in (k, n)])
+    overflow = F.create_map(*[F.lit(y) for k, _, o in GEOMETRY for y in (k, o)])
+
+    def cut(s: Column) -> Column:
+        size = F.try_element_at(most, s["key"])
+        return F.struct(s["key"].alias("key"), fit(s["value"], size, F.try_element_at(overflow, s["key"])).alias("text"), s["color"].alias("color"), (F.length(s["value"]) > size).alias("truncated"))
+
+    return x.select("job_id", F.transform(F.concat(single, _cells(F.col("rows"))), cut).alias("slots"))
 
 
 def gate(slots: DataFrame, audit: DataFrame, strict: bool = False) -> DataFrame:
