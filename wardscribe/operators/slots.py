@@ -90,9 +90,10 @@ def drug_cells(rows: DataFrame) -> DataFrame:
     return exploded(d.select("job_id", _cells(F.col("rows")).alias("c")), "c", "at", "c").select("job_id", "c.*")
 
 
-def all_slots(rows: DataFrame, note_date: str) -> DataFrame:
-    """(job_id, key, text, color, truncated): every field of every note of extract.noted(), cut to its box."""
-    return exploded(slot_arrays(rows, note_date), "slots", "at", "s").select("job_id", "s.*")
+def all_slots(rows: DataFrame, note_date: str, dealt: bool = False) -> DataFrame:
+    """(job_id, key, text, color, truncated): every field of every note of extract.noted(), cut to its box; dealt by note for what regroups them, one row a note."""
+    x = slot_arrays(rows, note_date)
+    return exploded(x.repartition("job_id") if dealt else x, "slots", "at", "s").select("job_id", "s.*")
 
 
 def slot_arrays(rows: DataFrame, note_date: str) -> DataFrame:
